@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat
+from plumbline.llm import chat, quality, toxicity
+from plumbline.llm.common import documents, fold_of
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
+    """``doc_id, text, label`` of the rows with a label that may be learnt from; repeated labels take the largest."""
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn).where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    return documents(spark, sf_dir).join(marks, "doc_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; labels of fold 0 of 5 are held out."""
+    fold = fold_of(F.col("doc_id"), 5)
+    model = toxicity.train(labelled(spark, sf_dir, "toxic", fold != 0))
+    return _scored(toxicity.score(documents(spark, sf_dir), model), fold == 0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; labels of fold 1 of 3 are held out."""
+    fold = fold_of(F.col("doc_id"), 3)
+    model = quality.train(labelled(spark, sf_dir, "quality", fold != 1))
+    return _scored(quality.score(documents(spark, sf_dir), model), fold == 1)
+
+
+def _scored(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -44,5 +70,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op10_chat_format": op10_chat_format}
+QUERIES = {"op1_toxicity": op1_toxicity, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}
