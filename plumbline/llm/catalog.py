@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, quality, toxicity
+from plumbline.llm import chat, quality, token_counts, token_output, toxicity
 from plumbline.llm.common import documents, fold_of
+from plumbline.llm.tokens import vocabulary
+from plumbline.sources.shared import new_path
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
@@ -29,6 +31,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(documents(spark, sf_dir), model), fold == 1)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, written as Parquet lists in ascending doc_id, and read back."""
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(documents(spark, sf_dir), path, vocabulary(), end_id=0)
+    return token_output.read_digests(spark, path)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded to flat files; the end ids found again give each document's count.
+
+    The files have no ids of documents: a document is known by its file (a partition of
+    the scan) and its ordinal there, which is how its doc_id is found.
+    """
+    docs, path, end = documents(spark, sf_dir), new_path(spark, "flat"), 50256
+    token_counts.write_flat(docs, path, vocabulary(), end)
+    counts = token_counts.count_tokens(token_counts.scan_blocks(spark, path, end))
+    part = F.regexp_extract("file", "^part-([0-9]+)", 1).cast("int")
+    placed = counts.select(part.alias("part"), "ordinal", "start", "n_tokens", "closed")
+    row = F.monotonically_increasing_id()
+    known = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
+    return placed.join(known, ["part", "ordinal"], "full").select("doc_id", "part", "ordinal", "start", "n_tokens", "closed")
+
+
 def _scored(scores: DataFrame, held_out: Column) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -70,5 +95,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}
