@@ -60,26 +60,31 @@ def reply_paths(messages: DataFrame, tree: str, branches: int = 1, max_rounds: i
     nodes = messages.select(F.col(tree).alias("t"), "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select(F.col("t").alias("pt"), F.col("node").alias("pn"))
     rooted = nodes.join(known, F.col("t").eqNullSafe(F.col("pt")) & (F.col("parent") == F.col("pn")), "left")
-    jump = work_table(rooted.select("t", "node", F.col("pn").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jump0")
-    jumps = [jump]
-    while not jump.where("up is not null").isEmpty():
+    hops = work_table(rooted.select("t", "node", F.col("pn").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jump0")
+    inner = hops.where("up is not null").select(F.col("t").alias("it"), F.col("up").alias("iu")).distinct()
+    # Only messages that are still below the root take part in the next round.
+    jumps, ended = [], hops.where("up is null")
+    active = hops.where("up is not null")
+    while not active.isEmpty():
         if len(jumps) > max_rounds:
             raise RuntimeError("replies form a cycle")
-        far = jump.select(F.col("t").alias("ft"), F.col("node").alias("fn"), F.col("up").alias("fup"), F.col("total").alias("ftotal"), F.col("depth").alias("fdepth"))
-        jump = work_table(
-            jump.join(far, F.col("t").eqNullSafe(F.col("ft")) & (F.col("up") == F.col("fn")), "left").select(
-                "t", "node", F.col("fup").alias("up"), (F.col("total") + F.coalesce("ftotal", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("fdepth", F.lit(0))).alias("depth")
+        jumps.append(active)
+        known = active.unionByName(ended)
+        far = known.select(F.col("t").alias("ft"), F.col("node").alias("fn"), F.col("up").alias("fup"), F.col("total").alias("ftotal"), F.col("depth").alias("fdepth"))
+        moved = work_table(
+            active.join(far, F.col("t").eqNullSafe(F.col("ft")) & (F.col("up") == F.col("fn"))).select(
+                "t", "node", F.col("fup").alias("up"), (F.col("total") + F.col("ftotal")).alias("total"), (F.col("depth") + F.col("fdepth")).alias("depth")
             ),
             f"jump{len(jumps)}",
         )
-        jumps.append(jump)
-    inner = jumps[0].where("up is not null").select(F.col("t").alias("it"), F.col("up").alias("iu")).distinct()
-    leaves = jump.join(inner, F.col("t").eqNullSafe(F.col("it")) & (F.col("node") == F.col("iu")), "left_anti")
+        ended = ended.unionByName(moved.where("up is null"))
+        active = moved.where("up is not null")
+    leaves = ended.join(inner, F.col("t").eqNullSafe(F.col("it")) & (F.col("node") == F.col("iu")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc(F.col("total") / F.col("depth")), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     path = chosen.select("t", F.col("node").alias("leaf"), "branch", "depth", "node", F.lit(0).cast("long").alias("dist"))
-    for k, hop in enumerate(jumps[:-1]):
-        step = hop.where("up is not null").select(F.col("t").alias("ht"), F.col("node").alias("hn"), F.col("up").alias("hu"))
+    for k, hop in enumerate(jumps):
+        step = hop.select(F.col("t").alias("ht"), F.col("node").alias("hn"), F.col("up").alias("hu"))
         moved = path.join(step, F.col("t").eqNullSafe(F.col("ht")) & (F.col("node") == F.col("hn"))).select("t", "leaf", "branch", "depth", F.col("hu").alias("node"), (F.col("dist") + F.lit(2**k)).alias("dist"))
         path = work_table(path.unionByName(moved), f"path{k}")
     spot = path.select(F.col("t").alias("pt"), F.col("node").alias("pn"), "leaf", "branch", (F.col("depth") - 1 - F.col("dist")).alias("pos"))
