@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, quality, token_counts, token_output, toxicity
-from plumbline.llm.common import documents, fold_of
+from plumbline.llm import chat, decontamination, fingerprint, ngram_join, packing, quality, token_counts, token_output, toxicity
+from plumbline.llm.common import broadcast_if_small, documents, fold_of
 from plumbline.llm.tokens import vocabulary
-from plumbline.sources.shared import new_path
+from plumbline.sources.shared import new_path, work_table
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
-    """``doc_id, text, label`` of the rows with a label that may be learnt from; repeated labels take the largest."""
-    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn).where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return documents(spark, sf_dir).join(marks, "doc_id")
+def marks(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
+    """``doc_id, label`` of the labels that may be learnt from; repeated labels take the largest."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn).where(F.col(label).isin(0, 1))
+    return rows.groupBy("doc_id").agg(F.max(label).alias("label"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; labels of fold 0 of 5 are held out."""
     fold = fold_of(F.col("doc_id"), 5)
-    model = toxicity.train(labelled(spark, sf_dir, "toxic", fold != 0))
-    return _scored(toxicity.score(documents(spark, sf_dir), model), fold == 0)
+    docs = documents(spark, sf_dir)
+    return _scored(toxicity.score(docs, toxicity.train(docs, marks(spark, sf_dir, "toxic", fold != 0))), fold == 0)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text; labels of fold 1 of 3 are held out."""
     fold = fold_of(F.col("doc_id"), 3)
-    model = quality.train(labelled(spark, sf_dir, "quality", fold != 1))
-    return _scored(quality.score(documents(spark, sf_dir), model), fold == 1)
+    docs = documents(spark, sf_dir)
+    return _scored(quality.score(docs, quality.train(docs, marks(spark, sf_dir, "quality", fold != 1))), fold == 1)
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,33 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.jaccard_components(documents(spark, sf_dir), size=3, num=90, den=100)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items: ``doc_id, item_id, score``."""
+    return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into sequences, which are dealt to optimal length buckets and batches."""
+    return packing.pack(packing.token_lengths(documents(spark, sf_dir), vocabulary()))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of each text and its edited form; and near duplicates by bands, verified.
+
+    ``near_component`` is the smallest id that verified links reach, ``near_links`` their number.
+    """
+    docs = documents(spark, sf_dir)
+    near = fingerprint.near_duplicates(docs).where("n_links > 0").select(F.col("doc_id").alias("id"), "component_id", "n_links").distinct()
+    near = broadcast_if_small(work_table(near, "near"), ngram_join.MOST_BROADCAST)
+    pairs = fingerprint.edited_pairs(docs)
+    joined = pairs.join(near, pairs.doc_id == near.id, "left")
+    return joined.select(*pairs.columns, F.coalesce("component_id", "doc_id").alias("near_component"), F.coalesce("n_links", F.lit(0)).alias("near_links"))
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_fingerprint": op7_fingerprint, "op4_ngram_join": op4_ngram_join, "op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}

@@ -29,6 +29,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def sample_labels(marks: DataFrame, most: int, salt: int, label: int | None = None) -> DataFrame:
+    """At most ``most`` rows ``doc_id, label, o`` of a label table, by a hash of the id; so few that they are broadcast."""
+    order = F.xxhash64(F.col("doc_id"), F.lit(salt)).alias("o")
+    rows = marks.where("label in (0, 1)" if label is None else F.col("label") == label)
+    return F.broadcast(rows.select("doc_id", "label", order).orderBy("o", "doc_id").limit(most))
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -72,13 +79,17 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) texts: one hash each, and where rows begin.
 
+    With ``letters``, words are runs of letters, digits and non-ASCII characters instead.
     ``hashes`` holds a 64-bit hash for each word of all rows; row i has the words
     ``first[i]`` up to ``first[i + 1]``. ``begin`` and ``end`` are byte positions in the batch.
     """
 
-    def __init__(self, flat: np.ndarray, offsets: np.ndarray):
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, letters: bool = False):
         lower = np.where((flat >= 65) & (flat <= 90), flat + 32, flat)
-        solid = ~((lower == 32) | ((lower >= 9) & (lower <= 13)))
+        if letters:
+            solid = (lower >= 128) | ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57))
+        else:
+            solid = ~((lower == 32) | ((lower >= 9) & (lower <= 13)))
         opens = solid.copy()
         opens[1:] &= ~solid[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _PLACES, bounded, flat_utf8, mix
+from plumbline.llm.common import _PLACES, bounded, flat_utf8, mix, sample_labels
 
 
 @dataclass(frozen=True)
@@ -130,10 +130,13 @@ class Leader:
         self.n[at] = n + g * g
 
 
-def train(labelled: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Fit on ``doc_id, text, label`` rows: executors hash the sample's texts, the driver learns from the vectors."""
-    rows = labelled.where("label in (0, 1)").select(F.xxhash64(F.col("doc_id"), F.lit(29)).alias("o"), "text", "label")
-    sample = _features(rows.orderBy("o", "text").limit(params.max_rows), params)
+def train(docs: DataFrame, marks: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
+    """Fit on ``docs`` (doc_id, text) and ``marks`` (doc_id, label; one row an id).
+
+    The sample is chosen among the labels; executors hash its texts, the driver learns
+    from the vectors.
+    """
+    sample = _features(docs.join(sample_labels(marks, params.max_rows, 29), "doc_id"), params)
     leader, bias, got, size = Leader(params), 1 << params.bits, [], 0
     for r in sample.toLocalIterator():
         size += len(r.slots) // 4

@@ -29,7 +29,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded
+from plumbline.llm.common import bounded, sample_labels
 
 GAP = b"\n" * 64
 
@@ -159,12 +159,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on ``doc_id, text, label`` rows; a bounded sample in the order of a hash of the id reaches the driver."""
+def train(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """Fit on ``docs`` (doc_id, text) and ``marks`` (doc_id, label; one row an id).
+
+    The sample is chosen among the labels, in the order of a hash of the id, and its
+    texts alone reach the driver.
+    """
     p = params
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    rows = labelled.where("label in (0, 1)").select("text", "label", order.alias("o"))
-    sample = rows.where("label = 1").orderBy("o", "text").limit(p.max_toxic).unionByName(rows.where("label = 0").orderBy("o", "text").limit(p.max_ordinary))
+    chosen = sample_labels(marks, p.max_toxic, 17, 1), sample_labels(marks, p.max_ordinary, 17, 0)
+    sample = docs.join(chosen[0], "doc_id").unionByName(docs.join(chosen[1], "doc_id")).select("text", "label", "o")
     running = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("o", "label", "text").rowsBetween(Window.unboundedPreceding, 0))
     got = [(r.text or "", r.label, r.o) for r in sample.withColumn("upto", running).where(F.col("upto") <= p.max_bytes).toLocalIterator()]
     model = ToxicityModel(p)
