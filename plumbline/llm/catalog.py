@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprint, ngram_join, packing, quality, token_counts, token_output, toxicity
+from plumbline.llm import chat, decontamination, fingerprint, ngram_join, packing, pii, quality, token_counts, token_output, toxicity
 from plumbline.llm.common import broadcast_if_small, documents, fold_of
 from plumbline.llm.tokens import vocabulary
 from plumbline.sources.shared import new_path, work_table
@@ -31,6 +31,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.train(docs, marks(spark, sf_dir, "quality", fold != 1))), fold == 1)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; counts and digest of the base entities, and all spans."""
+    docs = documents(spark, sf_dir)
+    grouped = work_table(pii.spans_by_document(docs, pii.find_pii(docs)), "spans")
+    rows = pii.attach(docs, grouped)
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s.rank == rank)).cast("long")
+
+    base = pii.span_text(F.filter("spans", lambda s: s.rank < 4))
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return rows.select("doc_id", *counts[:4], F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), counts[4])
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, written as Parquet lists in ascending doc_id, and read back."""
     path = new_path(spark, "tokens")
@@ -123,5 +137,5 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*pairs.columns, F.coalesce("component_id", "doc_id").alias("near_component"), F.coalesce("n_links", F.lit(0)).alias("near_links"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_fingerprint": op7_fingerprint, "op4_ngram_join": op4_ngram_join, "op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
+QUERIES = {"op2_pii": op2_pii, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_fingerprint": op7_fingerprint, "op4_ngram_join": op4_ngram_join, "op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}
