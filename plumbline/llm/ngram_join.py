@@ -331,3 +331,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     out = placed.join(reached, placed.rep == reached.node, "left").drop("node").join(degree, placed.rep == degree.node, "left")
     own = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each group of linked documents, the smallest id, with all its columns.
+
+    Of rows that repeat an id one stays; documents without words and rows without an id stay.
+    """
+    found = work_table(jaccard_components(docs, size, num, den), "found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(broadcast_if_small(gone, MOST_BROADCAST), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    again = work_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return left
+    again = broadcast_if_small(again, MOST_BROADCAST)
+    same = F.col("doc_id").cast("long") == F.col("again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -200,3 +200,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, score double")
+
+
+def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in bounded(batches):
+            yield b.filter(pa.array(scorer.scores(b.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
