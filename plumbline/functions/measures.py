@@ -39,7 +39,7 @@ def box_of(vertices: Column) -> Column:
     """Corners of ``array<struct<x, y, z>>`` (P1); null for no vertices."""
 
     def corner(f) -> Column:
-        return F.struct(*[f(F.transform(vertices, lambda v, a=a: v[a])).alias(a) for a in "xyz"])
+        return F.struct(*[f(vertices[a]).alias(a) for a in "xyz"])
 
     return F.when(F.size(vertices) > 0, F.struct(corner(F.array_min).alias("lo"), corner(F.array_max).alias("hi")))
 

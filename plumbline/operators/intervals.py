@@ -19,12 +19,13 @@ def merge(rows: DataFrame, key: str, lo: str, hi: str, tolerance: float = 0) ->
 def complement(merged: DataFrame, key: str, lo: str, hi: str, start: str, stop: str) -> DataFrame:
     """What merged, disjoint intervals leave of ``[start, stop]`` (A12): ``key, lo, hi``; empty gaps are dropped."""
     order = Window.partitionBy(key).orderBy(lo)
-    gaps = merged.select(
+    seen = merged.withColumns({"_before": F.lag(hi).over(order), "_after": F.lead(lo).over(order)})
+    gaps = seen.select(
         key,
         F.explode(
             F.array(
-                F.struct(F.coalesce(F.lag(hi).over(order), F.col(start)).alias("lo"), F.col(lo).alias("hi")),
-                F.struct(F.when(F.lead(lo).over(order).isNull(), F.col(hi)).alias("lo"), F.col(stop).alias("hi")),
+                F.struct(F.coalesce("_before", start).alias("lo"), F.col(lo).alias("hi")),
+                F.struct(F.when(F.col("_after").isNull(), F.col(hi)).alias("lo"), F.col(stop).alias("hi")),
             )
         ).alias("gap"),
     )

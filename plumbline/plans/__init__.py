@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("rules", "relations")
+FAMILIES = ("rules", "relations", "sequences", "texts")
 
 
 def load():
