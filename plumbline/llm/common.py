@@ -66,6 +66,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 _PLACES = np.random.default_rng(20240607).integers(0, 2**63, 1 << 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: For each byte, its lower-cased value plus 1, or 0 where it separates words.
+_BYTES = np.arange(256)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
+_SOLID = np.where((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)), 0, _LOWER + 1).astype(np.uint64)
+_LETTERS = np.where((_BYTES >= 128) | ((_LOWER >= 97) & (_LOWER <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57)), _LOWER + 1, 0).astype(np.uint64)
+
+
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array and the n + 1 offsets of its rows; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -81,31 +88,28 @@ class Words:
 
     With ``letters``, words are runs of letters, digits and non-ASCII characters instead.
     ``hashes`` holds a 64-bit hash for each word of all rows; row i has the words
-    ``first[i]`` up to ``first[i + 1]``. ``begin`` and ``end`` are byte positions in the batch.
+    ``first[i]`` up to ``first[i + 1]``. ``begin`` are byte positions in the batch.
     """
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray, letters: bool = False):
-        lower = np.where((flat >= 65) & (flat <= 90), flat + 32, flat)
-        if letters:
-            solid = (lower >= 128) | ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57))
-        else:
-            solid = ~((lower == 32) | ((lower >= 9) & (lower <= 13)))
+        weight = _LETTERS if letters else _SOLID
+        solid = (weight != 0)[flat]
         opens = solid.copy()
         opens[1:] &= ~solid[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
         opens[heads] = solid[heads]
         self.begin = np.flatnonzero(opens)
-        n = len(self.begin)
-        if n:
-            place = np.arange(len(lower)) - np.repeat(self.begin, np.diff(np.append(self.begin, len(lower))))
-            place[: self.begin[0]] = 0
-            value = (lower.astype(np.uint64) + np.uint64(1)) * _PLACES[place & 0x3FFF] * (np.uint64(2) * (place >> 14).astype(np.uint64) + np.uint64(1))
-            value[~solid] = 0
-            self.hashes = mix(np.add.reduceat(value, self.begin))
-            total = np.add.reduceat(solid.astype(np.int64), self.begin)
-            self.end = self.begin + total
+        if len(self.begin):
+            at = self.begin[0]
+            spans = np.diff(np.append(self.begin, len(flat)))
+            place = np.arange(at, len(flat), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), spans)
+            value = weight[flat[at:]]
+            if spans.max() > len(_PLACES):
+                value = value * (np.uint64(2) * (place >> 14).astype(np.uint64) + np.uint64(1))
+            value *= _PLACES[place & (len(_PLACES) - 1)]
+            self.hashes = mix(np.add.reduceat(value, self.begin - at))
         else:
-            self.hashes, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.hashes = np.zeros(0, np.uint64)
         self.first = np.searchsorted(self.begin, offsets)
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,11 +3,13 @@
 1. Statistics. Words are runs of letters and digits, lower-cased, known by 64-bit
    hashes. Document frequencies of the benchmark's words are counted over all
    documents; a word's weight is log((n + 1) / (df + 1)), or nothing where it is in
-   more than ``common`` of the documents (and in more than ten).
+   more than ``common`` of the documents (and in more than ten), unless a passage
+   has fewer than ``rare`` words that aren't.
 2. Latent space. Benchmark texts are cut into passages. The right singular vectors
-   of their TF-IDF matrix are found by randomised subspace iteration: tasks hold
-   passages A and return A'(A Q), a matrix of words by dimensions, from a fixed
-   number of partitions.
+   of their TF-IDF matrix, rows of unit length, are found by randomised subspace
+   iteration: tasks hold passages A and return A'(A Q), a matrix of words by
+   dimensions, from a fixed number of partitions. Passages of which the space keeps
+   less than ``cover`` add the directions they lack, so each can be found.
 3. Search. Every document is cut into overlapping windows, the sums of whole steps of
    words. A window's latent vector is compared with every passage, in blocks; the
    cosine and the share of the passage's length that is found must reach bounds.
@@ -36,7 +38,7 @@ from plumbline.llm.common import Words, bounded, flat_utf8
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``block`` benchmark passages of ``passage`` words and ``rank`` dimensions bound what is sent to tasks (20 MB)."""
+    """``block`` benchmark passages of ``passage`` words and ``rank`` dimensions bound what is sent to tasks (some 50 MB at most)."""
 
     rank: int = 192
     extra: int = 16
@@ -49,6 +51,8 @@ class LeakParams:
     long: int = 56
     passage: int = 48
     common: float = 0.01
+    rare: int = 4
+    cover: float = 0.8
     cosine: float = 0.6
     share: float = 0.6
     strong: float = 0.8
@@ -118,7 +122,7 @@ class Vocabulary:
         return maybe[same], spot[same]
 
 
-def weights(docs: DataFrame, known: Vocabulary, common: float) -> np.ndarray:
+def weights(docs: DataFrame, found: list[Passage], known: Vocabulary, p: LeakParams) -> np.ndarray:
     """Inverse document frequencies of the known words over all documents."""
     width = len(known.hashes)
 
@@ -136,15 +140,22 @@ def weights(docs: DataFrame, known: Vocabulary, common: float) -> np.ndarray:
     got = {r.k: r.n for r in counts}
     df = np.array([got.get(k, 0) for k in range(width)], np.float64)
     n = got.get(-1, 0)
-    return np.where(df > max(10, common * n), 0.0, np.log((n + 1) / (df + 1)).clip(min=1e-3))
+    full = np.log((n + 1) / (df + 1)).clip(min=1e-3)
+    out = np.where(df > max(10, p.common * n), 0.0, full)
+    for f in found:
+        spot = known.find(f.words)[1]
+        if (out[spot] > 0).sum() < p.rare:
+            out[spot] = full[spot]
+    return out
 
 
 def _rows_of(found: list[np.ndarray], idf: np.ndarray, known: Vocabulary) -> np.ndarray:
-    """Dense TF-IDF rows of passages over the known words."""
+    """Dense TF-IDF rows of passages over the known words, of unit length."""
     a = np.zeros((len(found), len(idf)))
     for i, w in enumerate(found):
         spot = known.find(w)[1]
         np.add.at(a[i], spot, idf[spot])
+        a[i] /= np.linalg.norm(a[i]) + 1e-12
     return a
 
 
@@ -171,8 +182,16 @@ def latent(found: list[Passage], idf: np.ndarray, known: Vocabulary, docs: DataF
     for _ in range(p.iterations):
         q = np.linalg.qr(power(q, False))[0]
     values, turn = np.linalg.eigh(power(q, True))
-    keep = np.argsort(-values)[: min(p.rank, rank)]
-    return q @ turn[:, keep]
+    space = q @ turn[:, np.argsort(-values)[: min(p.rank, rank)]]
+    lack = []
+    for k in range(0, len(found), 64):
+        a = _rows_of([f.words for f in found[k : k + 64]], idf, known)
+        rest = a - (a @ space) @ space.T
+        lack.append(rest[(rest**2).sum(1) > 1 - p.cover])
+    missing = np.vstack(lack)
+    if len(missing):
+        space = np.linalg.qr(np.hstack([space, missing.T]))[0][:, : space.shape[1] + len(missing)]
+    return space
 
 
 def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabulary, space: np.ndarray, p: LeakParams) -> DataFrame:
@@ -182,6 +201,7 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
     targets = np.stack([vectors[known.find(f.words)[1]].sum(0) for f in found])
     square = (targets**2).sum(1)
     heavy = idf > 0
+    norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
     sent = [(f.item, f.words.tobytes(), f.answer.tobytes()) for f in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,21 +223,25 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
                 continue
             at = (base[row] + place // p.step)[live]
             heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            sums = np.zeros((base[-1] + p.long // p.step, vectors.shape[1]), np.float32)
+            sums = np.zeros((base[-1], vectors.shape[1]), np.float32)
             sums[at[heads]] = np.add.reduceat(vectors[spot], heads, axis=0)
+            reach = np.append(0.0, np.cumsum(np.bincount(at, weights=norms[spot], minlength=base[-1])))
             holder = np.repeat(np.arange(b.num_rows), steps)
+            spots = np.arange(base[-1])
             hits: dict[tuple[int, int], float] = {}
             for size, group, m, matrix, norm in groups:
-                window = sums[: base[-1]].copy()
-                for j in range(1, m):  # steps of the same document only
-                    inside = np.flatnonzero((np.arange(base[-1]) + j) < base[holder + 1])
-                    window[inside] += sums[inside + j]
-                length = (window**2).sum(1)
-                busy = np.flatnonzero(length >= p.share**2 * norm.min())
+                stop = np.minimum(spots + m, base[holder + 1])
+                # A window is at most as long as its words' vectors together: most fall short of any passage.
+                busy = np.flatnonzero(reach[stop] - reach[:-1] >= p.share * np.sqrt(norm.min()))
                 for s in range(0, len(busy), 8192):
                     some = busy[s : s + 8192]
-                    dots = window[some] @ matrix
-                    good = (norm > 0) & (dots >= p.share * norm) & (dots >= p.cosine * np.sqrt(length[some][:, None] * norm))
+                    window = sums[some]
+                    for j in range(1, m):
+                        inside = some + j < stop[some]
+                        window[inside] += sums[some[inside] + j]
+                    length = (window**2).sum(1)
+                    dots = window @ matrix
+                    good = (norm > 0) & (dots >= p.share * norm) & (dots >= p.cosine * np.sqrt(length[:, None] * norm))
                     for i, t in zip(*np.nonzero(good), strict=True):
                         r = int(holder[some[i]])
                         item, passage, answer = texts[group[t]]
@@ -249,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
     def add(found: list[Passage]) -> None:
         known = Vocabulary(np.concatenate([f.words for f in found]))
-        idf = weights(docs, known, p.common)
+        idf = weights(docs, found, known, p)
         parts.append(search(docs, found, idf, known, latent(found, idf, known, docs, p), p))
 
     block: list[Passage] = []
