@@ -125,11 +125,24 @@ def segment_signer(num: int, den: int) -> Signer:
     return lambda sets: signatures(sets, num, den, bounds)
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n items' component under the edges a - b."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def candidate_edges(docs: DataFrame, size: int, signer: Signer) -> DataFrame:
     """``a, b``: each document that shares a signature with a smaller id, and the smallest such id.
 
-    A batch keeps one row for each signature and links its other holders to that one,
-    so a signature that a third of all documents hold is shuffled once for each batch.
+    A batch links the documents that share signatures to the smallest of them, and sends
+    each signature once, for that one; so a signature that a third of all documents hold
+    is shuffled once for each batch, and a group of copies has one row for each batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +152,18 @@ def candidate_edges(docs: DataFrame, size: int, signer: Signer) -> DataFrame:
             if not len(signs):
                 continue
             held = ids[owners].astype(np.int64)
-            order = np.lexsort((held, signs))
-            signs, held = signs[order], held[order]
+            # Documents of the batch that share signatures, as stars to their smallest id.
+            known, spot = np.unique(held, return_inverse=True)
+            order = np.lexsort((spot, signs))
+            signs, spot = signs[order], spot[order]
             first = np.concatenate([[True], signs[1:] != signs[:-1]])
-            lead = held[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            inner = ~first & (held != lead)
-            pairs = np.unique(np.stack([held[inner], lead[inner]], 1), axis=0) if inner.any() else np.zeros((0, 2), np.int64)
-            keyed = pa.RecordBatch.from_arrays([pa.array(signs[first].view(np.int64)), pa.array(held[first]), pa.nulls(int(first.sum()), pa.int64())], ["sign", "a", "b"])
+            lead = spot[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            root = local_roots(len(known), spot, lead)
+            star = np.flatnonzero(root != np.arange(len(known)))
+            # A signature is sent once, for the smallest id of its star.
+            keyed = pa.RecordBatch.from_arrays([pa.array(signs[first].view(np.int64)), pa.array(known[root[spot[first]]]), pa.nulls(int(first.sum()), pa.int64())], ["sign", "a", "b"])
             yield keyed
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sign", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(star), pa.int64()), pa.array(known[star]), pa.array(known[root[star]])], ["sign", "a", "b"])
 
     found = docs.where("doc_id is not null").mapInArrow(run, "sign long, a long, b long")
     # One shuffle: the rows of a signature, and, dealt by their ends, the edges found inside batches.
@@ -307,7 +323,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     about = work_table(describe(docs, size), "about")
     known = about.where("key1 is not null and doc_id is not null")
     classes = work_table(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    placed = about.join(classes, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", F.when(F.col("key1").isNotNull(), F.col("doc_id"))).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    named = F.col("doc_id").isNotNull()
+    placed = about.join(classes, ["key1", "key2"], "left").select(
+        "doc_id", "n_shingles", F.when(named & F.col("key1").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(named, F.coalesce("copies", F.lit(1))).otherwise(1).alias("copies")
+    )
     placed = work_table(placed, "placed")
 
     # Candidate edges between class representatives, and their components: the blocks.
