@@ -1,0 +1,92 @@
+"""Base entities against Python's re, bootstrapped spans, redaction and edge cases."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from plumbline.llm import pii
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (2 if k % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for rank, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text):
+            v, digits = m.group(), re.sub("[^0-9]", "", m.group())
+            ok = kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in v.split("."))) or (kind == "card" and 14 <= len(digits) <= 19 and luhn(digits)) or (kind == "phone" and 10 <= len(digits) <= 15)
+            if ok:
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)
+
+
+def spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.attach(df, pii.spans_by_document(df, pii.find_pii(df))).collect()
+    return {r.doc_id: [(s.start, s["rank"], s.end) for s in r.spans] for r in rows}
+
+
+def test_base_entities_equal_re(spark):
+    rng = random.Random(5)
+    bits = ["a@b.c", "@", ".", "x.y", "-", " ", "1.2.3.4", "256.1.1.1", "001.2.3.4.5.6.7.8", "4539 1488 0343 6467", "4539148803436467", "+1 (415) 555-2671", "+", "é𝄞", "12", "\n", "_", "%d@e-f.g.h", "0" * 14, "9-9", "+44 20 7946 0958", "("]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(500)] + [None, "", "a@b.c_d@e.f", "1.1.1.1.1.1.1.1", "+1" + "(" * 50]
+    got = spans(spark, texts)
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s[1] < 4] == base(t or ""), t
+
+
+def test_long_and_hostile_texts_end_soon(spark):
+    texts = ["a" * 200_000, "a@b" + ".c" * 30_000, "1 " * 60_000, "1.2." * 40_000, "+1" * 50_000, "9" * 100_000]
+    got = spans(spark, texts)
+    assert [s for s in got[1] if s[1] == 0] == [(0, 0, len(texts[1]))]
+    assert all(not [s for s in got[k] if s[1] == 0] for k in (0, 2, 5))
+
+
+def test_context_discovers_unseen_identifiers(spark):
+    seeds = [f"reach me, mail: u{k}@site{k}.org now" for k in range(40)]
+    texts = [*seeds, "reach me, mail: x9!corp#net now", "some 12345678 other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shaped = pii.PiiParams(accept=0.9)
+    found = pii.find_pii(df, shaped).where("kind = 'context'").collect()
+    assert all(r.doc_id >= 40 for r in found)
+    cards = [f"ref card no 4539 1488 0343 6467 on file {k}" for k in range(3)]
+    assert pii.find_pii(spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string"), shaped).where("kind = 'card'").count() == 3
+
+
+def test_a_pattern_spreads_from_seeds(spark):
+    rows = [(f"v{k}", k < 18, ["L|id:|9/2"]) for k in range(20)] + [("w1", False, ["L|the|9/2"]), ("w2", True, ["L|the|9/2"])]
+    df = spark.createDataFrame(rows, "value string, seed boolean, patterns array<string>")
+    got = {r.pattern: (r.score, r.seeds) for r in pii.score_patterns(df, pii.PiiParams()).collect()}
+    assert got["L|id:|9/2"][0] > 0.9 and got["L|id:|9/2"][1] == 18
+    assert got["L|the|9/2"][0] < 0.7
+
+
+def test_redaction_and_odd_rows(spark):
+    text = "é mail a@b.co, ip 10.0.0.1, twice 10.0.0.1."
+    df = spark.createDataFrame([(1, text, "k", 3), (1, text, "k", 3), (None, text, "k", 3), (2, None, "k", 3), (3, "", "k", 3), (4, "clean", "k", 3)], "doc_id long, text string, h string, spans int")
+    clean = pii.redact(df.select("doc_id", "text"))
+    got = [r.text for r in clean.orderBy(F.col("doc_id").asc_nulls_first()).collect()]
+    assert got == ["é mail [EMAIL], ip [IP], twice [IP]."] * 3 + [None, "", "clean"]
+    assert pii.redact(df.select("doc_id", "text").where("false")).count() == 0
+
+
+def test_digest(spark):
+    df = spark.createDataFrame([(1, "a@b.co and 10.0.0.1")], "doc_id long, text string")
+    row = pii.attach(df, pii.spans_by_document(df, pii.find_pii(df))).select(pii.span_text(F.col("spans")).alias("s")).first()
+    assert row.s == "email:0:6,ip:11:19"
+    assert hashlib.sha256(row.s.encode()).hexdigest()
