@@ -137,5 +137,22 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*pairs.columns, F.coalesce("component_id", "doc_id").alias("near_component"), F.coalesce("n_links", F.lit(0)).alias("near_links"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+n AS (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 90 * (p.n_shingles + q.n_shingles - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1),
+d AS (SELECT a AS doc_id, count(*)::BIGINT AS n_links FROM u GROUP BY 1)
+SELECT n.doc_id, n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM n JOIN k USING (doc_id) LEFT JOIN d USING (doc_id)
+"""
+
 QUERIES = {"op2_pii": op2_pii, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_fingerprint": op7_fingerprint, "op4_ngram_join": op4_ngram_join, "op1_toxicity": op1_toxicity, "op3_token_output": op3_token_output, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_chat_format": op10_chat_format}
-ORACLES = {"op10_chat_format": OP10_SQL}
+ORACLES = {"op4_ngram_join": OP4_SQL, "op10_chat_format": OP10_SQL}
