@@ -19,9 +19,10 @@ _SPACE = " \\t\\n\\x0b\\x0c\\r"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ž"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
+SPACED = re.compile(f" [{_LETTER}]+")
 
 #: Pieces that a worker keeps, at about 200 bytes each.
-MOST_PIECES = 600_000
+MOST_PIECES = 800_000
 
 _workers: dict[str, Encoder] = {}
 
@@ -42,6 +43,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -51,12 +53,26 @@ class Encoder:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > MOST_PIECES:
-            self.known.clear()
-        new = list(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; spaced words go together, a line for each, as a line break is a piece of its own."""
+        spaced = [p for p in pieces if SPACED.fullmatch(p)]
+        chunks = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
+        if chunks:
+            for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["\n".join(c) for c in chunks], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = (np.flatnonzero(ids == self.line) * 4).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(chunk, map(raw.__getitem__, map(slice, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)])), strict=True))
+        rest = [p for p in pieces if p not in self.known]
+        if rest:
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _make_room(self, new: int) -> None:
+        """Forget the pieces met last where there are too many: those met first are the frequent ones."""
+        if len(self.known) + new > MOST_PIECES:
+            for p in list(self.known)[MOST_PIECES // 2 :]:
+                del self.known[p]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text, its ids as little-endian 32-bit integers."""
@@ -67,13 +83,10 @@ class Encoder:
         out = []
         for group in self._groups(cut):
             pieces = set().union(*(c for c in group if isinstance(c, list)))
-            known = self.known
-            if any(p not in known for p in pieces):
-                missing = pieces.difference(known)
-                if len(known) + len(missing) > MOST_PIECES:  # what is kept goes, so all pieces of this group are new
-                    missing = pieces
-                self._learn(missing)
-            get = known.__getitem__
+            if missing := pieces.difference(self.known):
+                self._make_room(len(missing))
+                self._learn(sorted(pieces.difference(self.known)))
+            get = self.known.__getitem__
             for c in group:
                 out.append(b"".join(map(get, c)) if isinstance(c, list) else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
         return out
