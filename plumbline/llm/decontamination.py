@@ -2,9 +2,9 @@
 
 1. Statistics. Words are runs of letters and digits, lower-cased, known by 64-bit
    hashes. Document frequencies of the benchmark's words are counted over all
-   documents; a word's weight is log((n + 1) / (df + 1)), or nothing where it is in
-   more than ``common`` of the documents (and in more than ten), unless a passage
-   has fewer than ``rare`` words that aren't.
+   documents; a word's weight is log((n + 1) / (df + 1)), but at least ``least`` of the
+   largest weight: a leak that stands in many documents makes its own words frequent,
+   and must still weigh more than the words in which its copies differ.
 2. Latent space. Benchmark texts are cut into passages. The right singular vectors
    of their TF-IDF matrix, rows of unit length, are found by randomised subspace
    iteration: tasks hold passages A and return A'(A Q), a matrix of words by
@@ -12,7 +12,8 @@
    less than ``cover`` add the directions they lack, so each can be found.
 3. Search. Every document is cut into overlapping windows, the sums of whole steps of
    words. A window's latent vector is compared with every passage, in blocks; the
-   cosine and the share of the passage's length that is found must reach bounds.
+   projection on the passage must reach the share of its length that ``weak`` of its
+   words have even if they all weigh least and the others most.
 4. Verification. The longest common subsequence of passage words and the words
    around the window decides: ``strong`` of the passage is a hit; from ``weak`` on the
    passage's answer (the ``answer`` column, or else its last words) must be there too.
@@ -50,16 +51,19 @@ class LeakParams:
     short: int = 24
     long: int = 56
     passage: int = 48
-    common: float = 0.01
-    rare: int = 4
+    least: float = 0.8
     cover: float = 0.8
-    cosine: float = 0.6
-    share: float = 0.6
     strong: float = 0.8
     weak: float = 0.6
     answer_words: int = 6
     answer: float = 0.8
 
+    @property
+    def share(self) -> float:
+        """The least share of a passage's squared length in ``weak`` of its words."""
+        kept = self.weak * self.least**2
+        return kept / (kept + 1 - self.weak)
+
 
 def words(column: pa.Array) -> Words:
     """Words of a text column: runs of letters, digits and non-ASCII characters, lower-cased."""
@@ -141,20 +145,23 @@ def weights(docs: DataFrame, found: list[Passage], known: Vocabulary, p: LeakPar
     df = np.array([got.get(k, 0) for k in range(width)], np.float64)
     n = got.get(-1, 0)
     full = np.log((n + 1) / (df + 1)).clip(min=1e-3)
-    out = np.where(df > max(10, p.common * n), 0.0, full)
-    for f in found:
-        spot = known.find(f.words)[1]
-        if (out[spot] > 0).sum() < p.rare:
-            out[spot] = full[spot]
-    return out
+    return full.clip(min=p.least * full.max())
+
+
+def _terms(w: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Known words of a passage and their counts."""
+    return np.unique(known.find(w)[1], return_counts=True)
 
 
 def _rows_of(found: list[np.ndarray], idf: np.ndarray, known: Vocabulary) -> np.ndarray:
-    """Dense TF-IDF rows of passages over the known words, of unit length."""
+    """Dense TF-IDF rows of passages over the known words, of unit length.
+
+    The term frequency is the root of the count: with the count itself a repeated word outweighs many others.
+    """
     a = np.zeros((len(found), len(idf)))
     for i, w in enumerate(found):
-        spot = known.find(w)[1]
-        np.add.at(a[i], spot, idf[spot])
+        spot, n = _terms(w, known)
+        a[i, spot] = np.sqrt(n) * idf[spot]
         a[i] /= np.linalg.norm(a[i]) + 1e-12
     return a
 
@@ -194,13 +201,47 @@ def latent(found: list[Passage], idf: np.ndarray, known: Vocabulary, docs: DataF
     return space
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges ``[first, last)``, one after the other, and the range of each."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n - first)[of], of
+
+
+def enough_words(spot: np.ndarray, first: np.ndarray, last: np.ndarray, window: np.ndarray, target: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], need: np.ndarray, width: int) -> np.ndarray:
+    """Which pairs of a window and a passage share ``need`` words, repeats counted; no common subsequence is longer.
+
+    Window ``k`` has the words ``spot[first[k]:last[k]]``; ``window`` is sorted. Counts of at most 4 million
+    windows times words are held, and the terms of at most 16384 passages.
+    """
+    start = np.append(0, np.cumsum([len(w) for w, _ in terms]))
+    flat, count = np.concatenate([t[0] for t in terms]), np.concatenate([t[1] for t in terms]).astype(np.int16)
+    nth = np.cumsum(np.append(False, window[1:] != window[:-1]))
+    good = np.zeros(len(window), bool)
+    s = 0
+    while s < len(window):
+        e = min(s + 16384, int(np.searchsorted(nth, nth[s] + max(1, (1 << 22) // width))))
+        row = nth[s:e] - nth[s]
+        some = window[s:e][np.append(True, row[1:] != row[:-1])]
+        at, of = _ranges(first[some], last[some])
+        seen = np.zeros(len(some) * width, np.int16)
+        np.add.at(seen, of * width + spot[at], np.int16(1))
+        term, pair = _ranges(start[target[s:e]], start[target[s:e] + 1])
+        both = np.minimum(seen[row[pair] * width + flat[term]], count[term])
+        good[s:e] = np.bincount(pair, weights=both, minlength=e - s) >= need[target[s:e]]
+        s = e
+    return good
+
+
 def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabulary, space: np.ndarray, p: LeakParams) -> DataFrame:
     """``doc_id, item_id, score``: verified hits of a block of passages in all documents."""
     vectors = (space * idf[:, None]).astype(np.float32)
     wide = np.array([len(f.words) > p.short for f in found])
-    targets = np.stack([vectors[known.find(f.words)[1]].sum(0) for f in found])
+    terms = [_terms(f.words, known) for f in found]
+    targets = np.stack([np.sqrt(n).astype(np.float32) @ vectors[spot] for spot, n in terms])
+    need = p.weak * np.array([len(f.words) for f in found]) - 1e-9
+    beside = -(-p.passage // p.step)
     square = (targets**2).sum(1)
-    heavy = idf > 0
     norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
     sent = [(f.item, f.words.tobytes(), f.answer.tobytes()) for f in found]
 
@@ -218,13 +259,15 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
             row = np.repeat(np.arange(b.num_rows), count)
             place = np.arange(len(w.hashes)) - w.first[:-1][row]
             live, spot = known.find(w.hashes)
-            live, spot = live[heavy[spot]], spot[heavy[spot]]
             if not len(live):
                 continue
             at = (base[row] + place // p.step)[live]
-            heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            begin = np.searchsorted(at, np.arange(base[-1] + 1))
             sums = np.zeros((base[-1], vectors.shape[1]), np.float32)
-            sums[at[heads]] = np.add.reduceat(vectors[spot], heads, axis=0)
+            nth = np.arange(len(at)) - begin[at]
+            for k in range(p.step):  # one word of each step at a time: much faster than reduceat
+                one = nth == k
+                sums[at[one]] += vectors[spot[one]]
             reach = np.append(0.0, np.cumsum(np.bincount(at, weights=norms[spot], minlength=base[-1])))
             holder = np.repeat(np.arange(b.num_rows), steps)
             spots = np.arange(base[-1])
@@ -235,16 +278,19 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
                 busy = np.flatnonzero(reach[stop] - reach[:-1] >= p.share * np.sqrt(norm.min()))
                 for s in range(0, len(busy), 8192):
                     some = busy[s : s + 8192]
-                    window = sums[some]
-                    for j in range(1, m):
-                        inside = some + j < stop[some]
-                        window[inside] += sums[some[inside] + j]
-                    length = (window**2).sum(1)
-                    dots = window @ matrix
-                    good = (norm > 0) & (dots >= p.share * norm) & (dots >= p.cosine * np.sqrt(length[:, None] * norm))
-                    for i, t in zip(*np.nonzero(good), strict=True):
+                    above = np.zeros((stop[some[-1]] - some[0] + 1, vectors.shape[1]), np.float32)
+                    np.cumsum(sums[some[0] : stop[some[-1]]], axis=0, out=above[1:])
+                    window = above[stop[some] - some[0]] - above[some - some[0]]
+                    good = (norm > 0) & (window @ matrix >= (p.share - 1e-3) * norm)
+                    i, t = np.nonzero(good)
+                    t = group[t]
+                    # What is around a window, as in the verification, in whole steps.
+                    low = np.maximum(some - beside, base[holder[some]])
+                    high = np.minimum(stop[some] + beside, base[holder[some] + 1])
+                    likely = enough_words(spot, begin[low], begin[high], i, t, terms, need, len(idf))
+                    for i, t in zip(i[likely], t[likely], strict=True):
                         r = int(holder[some[i]])
-                        item, passage, answer = texts[group[t]]
+                        item, passage, answer = texts[t]
                         if hits.get((r, item), 0.0) >= p.strong:
                             continue
                         start = w.first[r] + (some[i] - base[r]) * p.step

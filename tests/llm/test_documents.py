@@ -95,6 +95,24 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert decontamination.find_leaks(df, bench.where("false")).count() == 0
 
 
+def test_edited_leak_in_many_documents_is_found(spark):
+    rng = random.Random(6)
+    items = [(k, prose(rng, 40)) for k in range(12)]
+    copies = {}
+    for k, spots in ((0, range(0, 40, 5)), (1, range(0, 28, 2))):  # 8 of 40 words, and 14 but for the answer, are others
+        copies[k] = " ".join("zz" if i in spots else w for i, w in enumerate(items[k][1].split()))
+    docs, want = [], set()
+    for i in range(240):
+        w = prose(rng, 60).split()
+        if i % 8 in copies:
+            w[30:30] = copies[i % 8].split()
+            want.add((i, i % 8))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = decontamination.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     items, docs, planted, edited = corpus()
