@@ -47,13 +47,21 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, ref: st
 def nearest_k_relative(rows: DataFrame, group: str, item: str, at: str, k: int, slack: float) -> DataFrame:
     """The ``k`` nearest other items of the group, no farther than the nearest plus ``slack``.
 
-    In sorted order the k nearest are among the k before and the k after, so lags replace
-    a self join. Ties take the smaller id.
+    The k nearest have the item's own value or one of the k distinct values before and the
+    k after it, and are among the smallest ids of their values: lags over distinct values,
+    each with its k + 1 smallest ids, replace a self join. Ties take the smaller id; rows
+    without a value have no distance and are nobody's neighbour.
     """
-    order = Window.partitionBy(group).orderBy(at, item)
-    here = F.struct(F.col(at).alias("v"), F.col(item).alias("id"))
-    around = F.array(*[f(here, j).over(order) for j in range(1, k + 1) for f in (F.lag, F.lead)])
-    seen = rows.withColumn("_near", F.array_sort(F.transform(F.filter(around, lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x.v - F.col(at)).alias("distance"), x.id.alias("id")))))
+    known = rows.where(F.col(at).isNotNull())
+    nth = F.row_number().over(Window.partitionBy(group, at).orderBy(item))
+    first = known.select(group, at, item).distinct().withColumn("_nth", nth).where(F.col("_nth") <= k + 1)
+    values = first.groupBy(group, at).agg(F.collect_list(F.struct(F.col(at).alias("v"), F.col(item).alias("id"))).alias("_here"))
+    order = Window.partitionBy(group).orderBy(at)
+    sides = [F.coalesce(f("_here", j).over(order), F.array().cast(values.schema["_here"].dataType)) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    values = values.select(F.col(group).alias("_group"), F.col(at).alias("_at"), F.concat("_here", *sides).alias("_around"))
+    met = known.join(values, F.col(group).eqNullSafe(F.col("_group")) & (F.col(at) == F.col("_at")))
+    others = F.filter("_around", lambda x: x.id != F.col(item))
+    seen = met.withColumn("_near", F.array_sort(F.transform(others, lambda x: F.struct(F.abs(x.v - F.col(at)).alias("distance"), x.id.alias("id")))))
     picked = seen.select(group, item, F.posexplode(F.slice("_near", 1, k)).alias("rank", "n"), F.element_at("_near", 1).distance.alias("_best"))
     return picked.where(F.col("n.distance") <= F.col("_best") + slack).select(group, item, (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("near_id"), F.col("n.distance").alias("distance"))
 

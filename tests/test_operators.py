@@ -51,6 +51,12 @@ def test_pairs(spark):
     assert rows(relational.pairs_in_group(df, "space", "door"), "space", "a", "b") == [("S1", "A", "B"), ("S1", "A", "C"), ("S1", "B", "C"), ("S2", "A", "B")]
 
 
+def test_nearest_among_equal_values(spark):
+    df = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 5.0), ("g", 9, 6.0), ("g", 10, None), ("h", 4, 1.0)], "k string, id int, v double")
+    near = relational.nearest_k_relative(df, "k", "id", "v", 2, 500.0)
+    assert rows(near.select("id", "rank", "near_id"), "id", "rank") == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2), (9, 1, 1), (9, 2, 2)]
+
+
 def test_number_rows_is_the_total_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r.v + 1 == r.k for r in relational.number_rows(df, ["v"], "k").collect())
