@@ -137,12 +137,12 @@ def tile_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def grid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes between corners of walkable rectangles of each floor, passed or as far as they go."""
+    """Routes to the corner of each part's rectangle on its floor, passed or as far as they go."""
     from plumbline.operators.grid import raster, routes
     from plumbline.sources.shared import work_table
 
     rects = part_rects(spark, sf_dir)
     runs = work_table(raster(rects), "runs")
-    ends = table(spark, sf_dir, "part").where("p_partkey % 11 = 5").select(F.expr("CAST(p_partkey % 8 AS INT) AS floor"), F.col("p_partkey").alias("request"), F.expr("CAST(p_partkey * 7 % 120 AS INT) AS gx"), F.expr("CAST(p_size % 50 AS INT) AS gy"))
+    ends = table(spark, sf_dir, "part").select(F.expr("CAST(p_partkey % 8 AS INT) AS floor"), F.col("p_partkey").alias("request"), F.expr("CAST(p_partkey * 7 % 120 AS INT) AS gx"), F.expr("CAST(p_size % 50 AS INT) AS gy"))
     starts = runs.groupBy("floor").agg(F.min(F.struct("gy", "x0")).alias("s")).select("floor", F.col("s.x0").alias("sx"), F.col("s.gy").alias("sy"))
     return routes(ends.join(starts, "floor").select("floor", "request", "sx", "sy", "gx", "gy"), runs)

@@ -70,3 +70,8 @@ def test_routes_hold_their_invariants(spark):
     assert rows
     assert all(r.orthogonal and r.collision_free for r in rows)
     assert all((r.status == "pass") == (r.reason == "") for r in rows)
+
+
+def test_every_part_asks_for_a_route(spark):
+    asked = sorted(r.request for r in REGISTRY.QUERIES["grid_route"](spark, DATA).collect())
+    assert asked == sorted(r.p_partkey for r in spark.read.parquet(f"{DATA}/part.parquet").collect())
