@@ -38,11 +38,12 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items; each row, one without an id too, is known by a hash of its id and text."""
     ship(spark)
-    hits = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    row = F.xxhash64("doc_id", "text")
+    hits = decontamination.find_leaks(docs.withColumn("doc_id", row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = work_table(hits.select(F.col("doc_id").alias("gone")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(gone, ngram_join.MOST_BROADCAST), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return docs.join(broadcast_if_small(gone, ngram_join.MOST_BROADCAST), row == F.col("gone"), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

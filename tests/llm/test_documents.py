@@ -113,6 +113,16 @@ def test_edited_leak_in_many_documents_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_leaks_without_an_id_are_removed(spark, tmp_path):
+    items, docs, planted, _ = corpus()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaks = {i for i, _ in planted}
+    df = spark.createDataFrame([(None, docs[min(leaks)][1]), (None, docs[1][1]), (None, None), *docs], "doc_id long, text string")
+    kept = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path)).collect()
+    assert {r.text for r in kept if r.doc_id is None} == {docs[1][1], None}
+    assert not leaks & {r.doc_id for r in kept} and {1, 2, 3} <= {r.doc_id for r in kept}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     items, docs, planted, edited = corpus()
