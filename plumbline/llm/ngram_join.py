@@ -267,7 +267,10 @@ def search_tiles(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             nodes, copies, sides = (np.concatenate([h[k] for h in held]) for k in range(3))
-            root, links = link_tile(nodes, copies, sides, [s for h in held for s in h[3]], num, den)
+            if tile[1:3] != tile[3:] and not sides.any():  # two chunks by its key, but the second is empty
+                root, links = nodes, np.zeros(len(nodes), np.int64)
+            else:
+                root, links = link_tile(nodes, copies, sides, [s for h in held for s in h[3]], num, den)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(links)], ["node", "root", "links"])
 

@@ -101,3 +101,10 @@ def test_minhash_near_duplicates(spark):
     linked = [i for i in want if want[i][2]]
     assert sum(got[i] == want[i][1] for i in linked) >= 0.97 * len(linked)
     assert all(got[i] == i for i in want if not want[i][2])
+
+
+def test_a_tile_without_its_second_chunk_has_no_links(spark):
+    text = "a b c d e f g h i j"
+    tiles = [(1, 0, 0, 0, second, 0, node, 1, text) for second in (0, 1) for node in (1, 2)]
+    rows = spark.createDataFrame(tiles, "block long, g1 int, c1 int, g2 int, c2 int, side int, node long, copies long, text string")
+    assert sorted(r.links for r in ngram_join.search_tiles(rows, 5, 80, 100).collect()) == [0, 0, 1, 1]
