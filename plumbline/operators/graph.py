@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import work_table
+from plumbline.sources.shared import drop_table, work_table
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = work_table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = work_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    written = labels = work_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     for _ in range(max_rounds):
         sent = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         better = (
@@ -31,8 +31,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             better.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), (F.col("old") > F.least("mid", F.coalesce("far", "mid"))).alias("changed")),
             "labels",
         )
+        drop_table(written)
+        written = step
         labels = step.select("node", "label")
         if step.where("changed").isEmpty():
+            drop_table(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -52,7 +55,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 200)
     """
     links = work_table(both_ways(edges), "links")
     best = work_table(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.array().cast("array<string>").alias("path")).distinct(), "best")
-    front = best
+    front = written = best
     for _ in range(max_rounds):
         moved = front.join(links, front.node == links.src).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array(F.col("edge_id").cast("string"))).alias("path"))
         near = moved.groupBy("source", "node").agg(F.min(F.struct("distance", "path")).alias("new"))
@@ -61,6 +64,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 200)
             old.join(near, ["source", "node"], "full").select("source", "node", F.least("old", "new").alias("b"), (F.col("old").isNull() | F.coalesce(F.col("new") < F.col("old"), F.lit(False))).alias("changed")),
             "best",
         )
+        drop_table(written)
+        written = step
         best = step.select("source", "node", F.col("b.distance").alias("distance"), F.col("b.path").alias("path"))
         front = best.join(step.where("changed").select("source", "node"), ["source", "node"], "left_semi")
         if step.where("changed").isEmpty():

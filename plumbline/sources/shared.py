@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing Parquet here. The folder is
 ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
-machine) a temporary folder is made. Tables are deleted when the driver exits.
+machine) a temporary folder is made, and only for a local master: executors elsewhere
+could not read it. Tables are deleted by ``drop_table``, or when the driver exits.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="plumbline-")
     return _own_dir
@@ -42,7 +47,16 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a working table that no later step reads; a frame that isn't one is left alone."""
+    path = _tables.pop(table, None)
+    if path is not None:
+        drop_path(table.sparkSession, path.rsplit("/", 1)[0])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
