@@ -25,6 +25,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
@@ -32,8 +35,12 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application.
 
     Arrow functions are imported by name in the Python workers, which need not have
-    the package installed.
+    the package installed. Arrow batches hold at most ``ARROW_ROWS`` rows: Spark's default of
+    10,000 whole texts takes tens of megabytes in the executor and again in its Python worker.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
