@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled at once by a vectorised kernel; its temporary arrays take about 40 times this.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sample_labels(marks: DataFrame, most: int, salt: int, label: int | None = None) -> DataFrame:
     """At most ``most`` rows ``doc_id, label, o`` of a label table, by a hash of the id; so few that they are broadcast."""
     order = F.xxhash64(F.col("doc_id"), F.lit(salt)).alias("o")
@@ -42,7 +51,25 @@ def partitions(df: DataFrame) -> int:
 
 
 def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``most`` bytes of text each, or a single row."""
+    """Slices of the batches with at most ``most`` bytes of text each, or a single row.
+
+    At the end of a task its worker, which Spark keeps for other tasks, returns free memory to the machine.
+    """
+    try:
+        yield from _slices(batches, text, most)
+    finally:
+        hand_back()
+
+
+def hand_back() -> None:
+    """Return freed memory to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

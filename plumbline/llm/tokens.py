@@ -22,7 +22,7 @@ PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
 SPACED = re.compile(f" [{_LETTER}]+")
 
 #: Pieces that a worker keeps, at about 200 bytes each.
-MOST_PIECES = 800_000
+MOST_PIECES = 400_000
 
 _workers: dict[str, Encoder] = {}
 

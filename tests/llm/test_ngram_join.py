@@ -62,18 +62,51 @@ def test_join_equals_brute_force(spark, size, num, den, chunk):
 
 
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
-def test_similar_sets_share_a_signature(num, den):
-    """The argument of the blocks, on random pairs around the threshold."""
+def test_similar_sets_share_postings(num, den):
+    """The argument of the candidates, on random pairs around the threshold."""
     rng = np.random.default_rng(1)
-    bounds = ngram_join.size_bounds(num, den)
-    for _ in range(400):
-        n = int(rng.integers(1, 120))
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 160))
         x = rng.integers(0, 2**63, n, dtype=np.uint64)
-        y = np.concatenate([x[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)])
+        y = np.concatenate([x[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)])
         x, y = np.unique(x), np.unique(y)
         if len(y) and den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
-            signs, owner = ngram_join.signatures([x, y], num, den, bounds)
-            assert set(signs[owner == 0].tolist()) & set(signs[owner == 1].tolist())
+            met += 1
+            (a, most_a), (b, most_b) = ngram_join.postings(x, num, den), ngram_join.postings(y, num, den)
+            assert len(np.intersect1d(a, b)) >= max(most_a, most_b)
+            assert 1 <= most_a <= len(a) <= len(x)
+    assert met > 300
+
+
+def test_hot_postings_lose_no_link(spark):
+    """A third of all rows near copies of each other, a passage in most of the others, and one key with a third of the rows."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    base, passage = rng.sample(words, 80), rng.sample(words, 60)
+    texts = []
+    for i in range(240):
+        if i % 3 == 0:
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+        elif i % 3 == 1:
+            w = passage + rng.sample(words, rng.randrange(0, 40))
+        else:
+            w = rng.sample(words, rng.randrange(1, 90))
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for size, num, chunk in ((3, 90, 400_000), (5, 80, 3000)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, size, num, 100, chunk).collect()}
+        assert got == brute(texts, size, num, 100)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, "x", 4), (2, "a b c d e f", 5, 6, "y", 8), (3, "other words stand here now", 9, 0, "z", 2), (3, "third", 9, 0, "z", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, again int, Other string, node int")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.gone) for r in kept.collect()) == [(1, 1), (3, 9)]
 
 
 def test_odd_rows(spark):
@@ -87,10 +120,11 @@ def test_odd_rows(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1]
 
 
-def test_merge_and_search():
-    lists = [np.array([0, 2, 5]), np.array([2, 5]), np.array([5])]
-    assert ngram_join.merge(lists, 6).tolist() == [1, 0, 2, 0, 0, 3]
-    assert ngram_join.merge([np.arange(600)] * 2, 600).tolist() == [2] * 600
+def test_merge():
+    found, times = ngram_join.merge([np.array([0, 2, 5]), np.array([2, 5]), np.array([5])])
+    assert (found.tolist(), times.tolist()) == ([0, 2, 5], [1, 2, 3])
+    assert ngram_join.merge([np.arange(600)] * 2)[1].tolist() == [2] * 600
+    assert ngram_join.merge([])[0].tolist() == []
 
 
 def test_minhash_near_duplicates(spark):
