@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from plumbline.sources.shared import drop_table, work_table
 
 
+#: Labels (two columns) that are broadcast at most, instead of shuffled in each round.
+MOST_LABELS = 200_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of an undirected edge table: ``(node, component)``.
 
     Each round sends labels along edges (a partially aggregated ``min``) and then
     jumps pointers (label := label of label), so the rounds grow with the logarithm
     of the diameter rather than with the diameter. Rounds are written to the shared
-    folder, so a lost executor repeats one round at most. Nodes may be of any
-    ordered type. Self loops keep isolated nodes; null ends are ignored.
+    folder, so a lost executor repeats one round at most; labels are broadcast where
+    the graph has few nodes. Nodes may be of any ordered type. Self loops keep isolated
+    nodes; null ends are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = work_table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    written = labels = work_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    labels = work_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    few = labels.limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    hint = F.broadcast if few else (lambda df: df)
+    written = labels
     for _ in range(max_rounds):
-        sent = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        better = (
-            labels.join(sent, "node")
-            .select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        )
+        sent = both.join(hint(labels), both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        # Every node has an edge, if only to itself, so ``sent`` has them all.
+        better = sent.join(hint(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = work_table(
-            better.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), (F.col("old") > F.least("mid", F.coalesce("far", "mid"))).alias("changed")),
-            "labels",
-        )
+        new = F.least("mid", F.coalesce("far", "mid"))
+        step = work_table(better.join(hint(jump), "mid", "left").select("node", new.alias("label"), (F.col("old") > new).alias("changed")), "labels")
         drop_table(written)
         written = step
         labels = step.select("node", "label")
