@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontamination, fingerprint, ngram_join, packing, pii, quality, token_counts, token_output, toxicity
-from plumbline.llm.common import broadcast_if_small, documents, fold_of
+from plumbline.llm.common import documents, fold_of
 from plumbline.llm.tokens import vocabulary
-from plumbline.sources.shared import new_path, work_table
+from plumbline.sources.shared import broadcast_if_small, new_path, work_table
 
 
 def marks(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:

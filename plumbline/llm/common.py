@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled at once by a vectorised kernel; its temporary arrays take about 40 times this.
@@ -25,11 +25,6 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds, F.lit(0))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where it has at most ``max_rows`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, lengthened until no column has it (Spark's names ignore case)."""
     taken = {c.lower() for c in columns}
@@ -45,6 +40,25 @@ def sample_labels(marks: DataFrame, most: int, salt: int, label: int | None = No
     return F.broadcast(rows.select("doc_id", "label", order).orderBy("o", "doc_id").limit(most))
 
 
+def bounded_rows(table: DataFrame, order: list[str], size: str, most_rows: int, most: int) -> list[Row]:
+    """The first rows of a written table in ``order`` (its key: repeated rows count once), ``most`` of ``size`` in all.
+
+    A row of more than an eighth of ``most`` is passed over. Only the keys and sizes of ``most_rows``
+    rows, and then the rows taken, reach the driver.
+    """
+    once = table.where(F.col(size) <= most // 8).dropDuplicates(order)
+    last, total = None, 0
+    for r in once.select(*order, size).orderBy(*order).limit(most_rows).collect():
+        total += r[size]
+        if total > most:
+            break
+        last = r
+    if last is None:
+        return []
+    taken = once.where(F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(table.schema[c].dataType).alias(c) for c in order]))
+    return sorted(taken.collect(), key=lambda r: tuple(r[c] for c in order))
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -46,9 +46,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded, broadcast_if_small, fresh, mix, partitions, words_of
+from plumbline.llm.common import bounded, fresh, mix, partitions, words_of
 from plumbline.operators.graph import connected_components
-from plumbline.sources.shared import drop_table, work_table
+from plumbline.sources.shared import broadcast_if_small, drop_table, work_table
 
 #: Shingles in a chunk of a large block.
 CHUNK_SHINGLES = 400_000

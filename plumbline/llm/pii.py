@@ -25,8 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small
-from plumbline.sources.shared import work_table
+from plumbline.sources.shared import broadcast_if_small, work_table
 
 KINDS = ("email", "ip", "card", "phone", "context")
 

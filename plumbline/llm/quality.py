@@ -9,8 +9,9 @@ regularised leader (proximal, with per-slot rates and L1, L2 terms), one text at
 time over a bounded sample, and a text's score is a sparse dot product.
 
 Defined results: a null or empty text has no n-grams and gets the bias alone; texts
-are scored whole; a row with several labels takes the largest; without labels all
-scores are 0.5; an empty table gives no rows; other columns are ignored.
+are scored whole and by themselves, so equal texts have equal scores; rows that repeat a
+labelled text with its id are learnt from once; without labels all scores are 0.5; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _PLACES, bounded, flat_utf8, mix, sample_labels
+from plumbline.llm.common import _PLACES, bounded, bounded_rows, flat_utf8, mix, sample_labels
+from plumbline.sources.shared import drop_table, work_table
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """Parameters; the training sample is at most ``max_rows`` rows, by a hash of the id."""
+    """Parameters; the training sample is at most ``max_rows`` rows of ``max_features`` n-grams in all, in the order of a hash of the id."""
 
     bits: int = 18
     max_rows: int = 6000
@@ -136,16 +138,14 @@ def train(docs: DataFrame, marks: DataFrame, params: QualityParams = QualityPara
     The sample is chosen among the labels; executors hash its texts, the driver learns
     from the vectors.
     """
-    sample = _features(docs.join(sample_labels(marks, params.max_rows, 29), "doc_id"), params)
-    leader, bias, got, size = Leader(params), 1 << params.bits, [], 0
-    for r in sample.toLocalIterator():
-        size += len(r.slots) // 4
-        if size > params.max_features:
-            break
-        got.append((np.append(np.frombuffer(r.slots, "<u4").astype(np.int64), bias), np.append(np.frombuffer(r["values"], "<f4"), 1.0), float(r.label), r.o))
-    got.sort(key=lambda x: x[3])
+    coded = _features(docs.select("doc_id", "text").join(sample_labels(marks, params.max_rows, 29), "doc_id"), params)
+    sample = work_table(coded.withColumns({"h": F.xxhash64("slots", "values"), "n": F.octet_length("slots") / F.lit(4)}), "vectors")
+    leader, bias, got = Leader(params), 1 << params.bits, []
+    for r in bounded_rows(sample, ["o", "label", "h"], "n", params.max_rows, params.max_features):
+        got.append((np.append(np.frombuffer(r.slots, "<u4").astype(np.int64), bias), np.append(np.frombuffer(r["values"], "<f4"), 1.0), float(r.label)))
+    drop_table(sample)
     for _ in range(params.epochs):
-        for at, x, y, _ in got:
+        for at, x, y in got:
             leader.update(at, x, y)
     w = leader.weights(slice(None))
     return QualityModel(params, w[:-1].astype(np.float32), float(w[-1]))
@@ -162,8 +162,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         weights[sparse[0]] = sparse[1]
         for b in bounded(batches):
             slots, values, first = ngrams(b.column("text"), bits)
-            terms = np.append(np.cumsum(np.append(0.0, weights[slots] * values)), 0.0)
-            margin = terms[first[1:]] - terms[first[:-1]] + bias
+            # Each row's own sum: a running sum over the batch would round by what stands before.
+            full = np.diff(first) > 0
+            margin = np.full(len(full), bias)
+            if full.any():
+                margin[full] += np.add.reduceat(weights[slots] * values, first[:-1][full])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -1,63 +1,71 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts. The
-ordinary one is trained by zstandard on windows of ordinary text. The toxic one has
-the same content and, nearest to the compressed window, segments of toxic text: the
-runs of byte n-grams that are significantly more frequent in toxic than in ordinary
-texts, chosen greedily until each such n-gram is covered. (zstandard's own selection
-takes what is frequent in toxic text, which is frequent in any text.)
+Two dictionaries are trained by zstandard on a bounded sample of labelled texts, and
+loaded as trained, with their entropy tables. The ordinary one is trained on windows
+of ordinary text. The toxic one is trained on the segments of toxic texts whose byte
+n-grams are significantly more frequent there than in ordinary texts: zstandard
+selects what is frequent, which in whole toxic texts is what is frequent in any text.
+It stands behind the ordinary one, in the same compressor, so that the two compressors
+differ by the toxic dictionary alone.
 
 A text is cut into windows at spaces. The difference of a window's two compressed
-lengths tells how much of it only the toxic dictionary knows. Features of a text's
-differences get weights, and so thresholds, by logistic regression on labelled texts
-that the dictionaries did not see.
+lengths tells how much of it only the toxic dictionary knows. Thresholds on it are
+calibrated on ordinary texts: the differences that one window in 10, 100 and 1000
+reaches. Logistic regression weighs a text's largest and mean differences and its
+windows over the thresholds, on labelled texts that the dictionaries did not see.
 
 Defined results: a null or empty text has one empty window and a score; texts are
-scored whole; rows with several labels count as toxic if one does; without labels of
-both kinds every score is 0; an empty table gives no rows; other columns are ignored.
+scored whole; rows that repeat a labelled text with its id are learnt from once; a
+text with both labels is learnt from as both; without labels of both kinds every
+score is 0; an empty table gives no rows; other columns, whatever their names, are
+ignored (``reject`` keeps them).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded, sample_labels
+from plumbline.llm.common import bounded, bounded_rows, hand_back, sample_labels
+from plumbline.sources.shared import drop_table, work_table
 
 GAP = b"\n" * 64
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """Parameters; the sample's bounds are ``max_toxic``, ``max_ordinary`` rows and ``max_bytes``."""
+    """Parameters. ``max_toxic`` and ``max_ordinary`` rows of ``max_bytes`` in all bound the sample, in the order of a
+    hash of the id; the ordinary dictionary is trained on the first ``train_bytes`` of its windows."""
 
     window: int = 64
     gram: int = 5
     max_toxic: int = 2000
     max_ordinary: int = 4000
-    max_bytes: int = 40_000_000
+    max_bytes: int = 24_000_000
+    train_bytes: int = 12_000_000
     ordinary_bytes: int = 65536
     toxic_bytes: int = 16384
     min_z: float = 6.0
     min_ratio: float = 6.0
     level: int = 3
     min_match: int = 5
+    quantiles: tuple[float, ...] = (0.9, 0.99, 0.999)
 
 
 @dataclass
 class ToxicityModel:
-    """Dictionaries and calibrated weights; a few dozen kilobytes, sent with the tasks."""
+    """Dictionaries, thresholds and weights; some hundred kilobytes, sent with the tasks."""
 
     params: ToxicityParams
     ordinary: bytes = b""
     toxic: bytes = b""
+    thresholds: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     shift: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
@@ -76,6 +84,11 @@ def cut(text: bytes, size: int) -> list[bytes]:
     return out or [b""]
 
 
+def flat(text: str | None) -> bytes:
+    """A text's lower-cased bytes."""
+    return (text or "").lower().encode("utf-8", "surrogatepass")
+
+
 def _slots(text: bytes, n: int) -> np.ndarray:
     """Slots (22 bits) of the byte n-grams of a text."""
     a = np.frombuffer(text, np.uint8).astype(np.uint64)
@@ -88,8 +101,8 @@ def _slots(text: bytes, n: int) -> np.ndarray:
     return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParams) -> bytes:
-    """Toxic segments that cover every n-gram typical of toxic texts, the most frequent last."""
+def typical_segments(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParams) -> list[bytes]:
+    """The runs of toxic texts made of n-grams that are significantly more frequent in toxic than in ordinary texts."""
 
     def texts_with(texts: list[bytes]) -> np.ndarray:
         counts = np.zeros(1 << 22, np.int32)
@@ -101,22 +114,21 @@ def contrast(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParams) -> by
     pooled = (a + b) / (na + nb)
     z = (a / na - b / nb) / np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb) + 1e-12)
     typical = (z > min(p.min_z, 0.5 * np.sqrt(na))) & ((a + 0.5) / (na + 1) > p.min_ratio * (b + 0.5) / (nb + 1)) & (a >= 3)
-    runs: Counter[bytes] = Counter()
+    out = []
     for t in toxic:
         hits = np.flatnonzero(typical[_slots(t, p.gram)])
         if len(hits):
             breaks = np.flatnonzero(np.diff(hits) > 3)
-            for i, j in zip(np.append(hits[0], hits[breaks + 1]), np.append(hits[breaks], hits[-1]) + p.gram, strict=True):
-                if j - i <= 40:
-                    runs[t[i:j]] += 1
-    covered, parts, size = np.zeros(1 << 22, bool), [], 0
-    for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        slots = _slots(run, p.gram)
-        if n >= 2 and not covered[slots].all() and size + len(run) <= p.toxic_bytes:
-            parts.append(run)
-            size += len(run)
-            covered[slots] = True
-    return b"".join(reversed(parts))
+            out += [t[i:j] for i, j in zip(np.append(hits[0], hits[breaks + 1]), np.append(hits[breaks], hits[-1]) + p.gram, strict=True)]
+    return out
+
+
+def dictionary(samples: list[bytes], size: int, k: int) -> bytes:
+    """A zstandard dictionary trained on samples; of too few to train on, the samples themselves."""
+    try:
+        return zs.train_dictionary(size, samples, k=k, d=6).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class Scorer:
@@ -125,23 +137,26 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         p = model.params
         how = zs.ZstdCompressionParameters.from_level(p.level, min_match=p.min_match, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.model, self.pair = model, [zs.ZstdCompressor(compression_params=how, dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT)).compress for d in (model.ordinary, model.toxic)]
+        self.model, self.pair = model, [zs.ZstdCompressor(compression_params=how, dict_data=zs.ZstdCompressionDict(d)).compress for d in (model.ordinary, model.toxic)]
 
-    def features(self, text: str | None) -> list[float]:
-        """Features of the window differences of a whole text."""
-        raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    def differences(self, raw: bytes) -> np.ndarray:
+        """What the toxic dictionary saves in each window of a text."""
         plain, toxic = self.pair
-        d = np.array([len(plain(w)) - len(toxic(w)) for w in cut(raw, self.model.params.window)], np.float64)
-        gain = np.clip(d, 0, None)
+        return np.array([len(plain(w)) - len(toxic(w)) for w in cut(raw, self.model.params.window)], np.float64)
+
+    def features(self, raw: bytes) -> list[float]:
+        """Features of the window differences of a whole text."""
+        d = self.differences(raw)
         top = np.sort(d)[::-1]
-        return [top[0], top[:3].mean(), gain.sum() / np.sqrt(len(raw) + 50), d.mean(), (d >= 2).mean(), (d >= 4).mean(), np.log1p((d >= 4).sum()), np.log1p(len(d))]
+        over = [(d >= t) for t in self.model.thresholds]
+        return [top[0], top[:3].mean(), np.clip(d, 0, None).sum() / np.sqrt(len(raw) + 50), d.mean(), *[o.mean() for o in over], *[np.log1p(o.sum()) for o in over], np.log1p(len(d))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1."""
         m = self.model
         if not m.weights or not texts:
             return np.zeros(len(texts))
-        x = (np.array([self.features(t) for t in texts]) - m.shift) / m.scale
+        x = (np.array([self.features(flat(t)) for t in texts]) - m.shift) / m.scale
         return 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[1:]) + m.weights[0], -30, 30)))
 
 
@@ -167,26 +182,29 @@ def train(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityPa
     """
     p = params
     chosen = sample_labels(marks, p.max_toxic, 17, 1), sample_labels(marks, p.max_ordinary, 17, 0)
-    sample = docs.join(chosen[0], "doc_id").unionByName(docs.join(chosen[1], "doc_id")).select("text", "label", "o")
-    running = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("o", "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    got = [(r.text or "", r.label, r.o) for r in sample.withColumn("upto", running).where(F.col("upto") <= p.max_bytes).toLocalIterator()]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))
+    sample = work_table(texts.join(chosen[0], "doc_id").unionByName(texts.join(chosen[1], "doc_id")).drop("doc_id"), "labelled")
+    got = [(flat(r.text), r.label, r.o) for r in bounded_rows(sample, ["o", "label", "h"], "size", p.max_toxic + p.max_ordinary, p.max_bytes)]
+    drop_table(sample)
     model = ToxicityModel(p)
-    fit = [x for x in got if x[2] % 3]
-    held = [x for x in got if x[2] % 3 == 0]
-    raw = {k: [t.lower().encode("utf-8", "surrogatepass") for t, y, _ in fit if y == k] for k in (0, 1)}
-    if min(len(raw[0]), len(raw[1])) < 8 or len({y for _, y, _ in held}) < 2:
+    fit = {k: [t for t, y, o in got if o % 3 and y == k] for k in (0, 1)}
+    held = [(t, y) for t, y, o in got if o % 3 == 0]
+    if min(len(fit[0]), len(fit[1])) < 8 or len({y for _, y in held}) < 2:
         return model
-    windows = [w for t in raw[0] for w in cut(t, 96) if len(w) >= 8][:200_000]
-    try:
-        base = zs.train_dictionary(p.ordinary_bytes, windows, k=48, d=6).as_bytes()
-    except zs.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(windows)[: p.ordinary_bytes]
-    model.ordinary, model.toxic = base + GAP, base + contrast(raw[1], raw[0], p) + GAP
+    windows = [w for t in fit[0] for w in cut(t, 96) if len(w) >= 8]
+    windows = windows[: int(np.searchsorted(np.cumsum([len(w) for w in windows]), p.train_bytes, side="right"))]
+    ordinary = dictionary(windows, p.ordinary_bytes, 48)
+    model.ordinary, model.toxic = ordinary + GAP, ordinary + dictionary(typical_segments(fit[1], fit[0], p), p.toxic_bytes, 16) + GAP
     scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t, _, _ in held])
+    usual = np.concatenate([scorer.differences(t) for t, y in held if y == 0])
+    model.thresholds = np.unique(np.maximum(1.0, np.quantile(usual, p.quantiles))).tolist()
+    x, y = np.array([scorer.features(t) for t, _ in held]), np.array([y for _, y in held], float)
     shift, scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _logistic((x - shift) / scale, np.array([y for _, y, _ in held], float)).tolist()
+    model.weights = _logistic((x - shift) / scale, y).tolist()
     model.shift, model.scale = shift.tolist(), scale.tolist()
+    del got, fit, held, windows
+    hand_back()
     return model
 
 

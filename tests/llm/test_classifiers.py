@@ -65,6 +65,28 @@ def test_edge_rows(spark, labelled, operator):
     assert len({r.score for r in operator.score(odd, untaught).collect()}) == 1
 
 
+@pytest.mark.parametrize("operator", [toxicity, quality])
+def test_equal_texts_have_equal_scores_and_other_columns_are_ignored(spark, labelled, operator):
+    docs, marks = labelled
+    learn = spark.createDataFrame([(i, t) for i, t, _ in marks], "doc_id long, label int")
+    texts = [r.text for r in docs.limit(40).collect()] + ["gruzzled plonkish " * 3000]
+    rows = [(i, texts[(i * i) % len(texts)], 1, 2, 3, 4) for i in range(300)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, label int, o int, h int, size int").repartition(5)
+    # Repeated rows, conflicting labels of an id and clashing names reach training too.
+    model = operator.train(many.unionByName(many), learn.unionByName(learn.where("doc_id < 20").selectExpr("doc_id", "1 - label AS label")))
+    by_text = {}
+    for r in many.join(operator.score(many, model), "doc_id").collect():
+        by_text.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_the_toxic_dictionary_is_trained_on_what_is_typical():
+    ordinary = [b"the weather was mild and the river ran slow %d" % i for i in range(60)]
+    rude = b"you snarfwit of a blatherskite who never once read the whole of a sentence"
+    runs = toxicity.typical_segments([b"the weather " + rude + b" %d" % i for i in range(30)], ordinary, toxicity.ToxicityParams())
+    assert runs and max(map(len, runs)) > 40 and all(r in rude + b" " or b"weather" not in r for r in runs)
+
+
 def test_windows_cover_the_text():
     text = b"ab cd " * 50 + b"x" * 300
     assert b"".join(toxicity.cut(text, 64)) == text
