@@ -32,7 +32,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every text; counts and digest of the base entities, and all spans."""
+    """Personal data in every text; counts and digest of the base entities, and all spans, secrets and discovered ones too."""
     docs = documents(spark, sf_dir)
     grouped = work_table(pii.spans_by_document(docs, pii.find_pii(docs)), "spans")
     rows = pii.attach(docs, grouped)
@@ -42,7 +42,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = pii.span_text(F.filter("spans", lambda s: s.rank < 4))
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return rows.select("doc_id", *counts[:4], F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), counts[4])
+    return rows.select("doc_id", *counts[:4], F.sha2(base, 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), *counts[4:])
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
