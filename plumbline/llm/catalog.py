@@ -55,17 +55,13 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to flat files; the end ids found again give each document's count.
 
-    The files have no ids of documents: a document is known by its file (a partition of
-    the scan) and its ordinal there, which is how its doc_id is found.
+    The token files have no ids of documents: the writer's sidecar names them.
     """
-    docs, path, end = documents(spark, sf_dir), new_path(spark, "flat"), 50256
-    token_counts.write_flat(docs, path, vocabulary(), end)
-    counts = token_counts.count_tokens(token_counts.scan_blocks(spark, path, end))
-    part = F.regexp_extract("file", "^part-([0-9]+)", 1).cast("int")
-    placed = counts.select(part.alias("part"), "ordinal", "start", "n_tokens", "closed")
-    row = F.monotonically_increasing_id()
-    known = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return placed.join(known, ["part", "ordinal"], "full").select("doc_id", "part", "ordinal", "start", "n_tokens", "closed")
+    path, end = new_path(spark, "flat"), 50256
+    token_counts.write_flat(documents(spark, sf_dir), path, vocabulary(), end)
+    counts = token_counts.count_tokens(token_counts.scan_blocks(spark, f"{path}/kind=tokens", end))
+    named = token_counts.name_documents(counts, token_counts.read_ids(spark, path))
+    return named.select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
 
 
 def _scored(scores: DataFrame, held_out: Column) -> DataFrame:

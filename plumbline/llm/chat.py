@@ -15,7 +15,9 @@ Escapes make it reversible: ``\`` becomes ``\b``, ``<`` becomes ``\l`` and, in r
 
 Defined results: a null role or text is empty; repeated rows stay separate turns;
 equal scores choose the smallest leaf id; a message whose parent is missing is a
-root; an empty table gives no rows; other columns are ignored.
+root; rows of a null conversation are one conversation; an empty table gives no rows;
+other columns, whatever their names, are kept by ``reply_paths`` and ignored by
+``format_paths``. ``leaf``, ``branch`` and ``pos`` of the messages give way to the path's.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import work_table
+from plumbline.llm.common import fresh
+from plumbline.sources.shared import drop_table, work_table
 
 OPEN, MID, CLOSE = '<turn role="', '">\n', "\n</turn>\n"
 
@@ -86,9 +89,14 @@ def reply_paths(messages: DataFrame, tree: str, branches: int = 1, max_rounds: i
     for k, hop in enumerate(jumps):
         step = hop.select(F.col("t").alias("ht"), F.col("node").alias("hn"), F.col("up").alias("hu"))
         moved = path.join(step, F.col("t").eqNullSafe(F.col("ht")) & (F.col("node") == F.col("hn"))).select("t", "leaf", "branch", "depth", F.col("hu").alias("node"), (F.col("dist") + F.lit(2**k)).alias("dist"))
-        path = work_table(path.unionByName(moved), f"path{k}")
-    spot = path.select(F.col("t").alias("pt"), F.col("node").alias("pn"), "leaf", "branch", (F.col("depth") - 1 - F.col("dist")).alias("pos"))
-    return messages.join(spot, F.col(tree).eqNullSafe(F.col("pt")) & (messages.node == F.col("pn"))).drop("pt", "pn")
+        longer = work_table(path.unionByName(moved), f"path{k}")
+        drop_table(path)
+        path = longer
+    kept = [c for c in messages.columns if c.lower() not in ("leaf", "branch", "pos")]
+    pt, pn = fresh("pt", kept), fresh("pn", kept)
+    spot = path.select(F.col("t").alias(pt), F.col("node").alias(pn), "leaf", "branch", (F.col("depth") - 1 - F.col("dist")).alias("pos"))
+    rows = messages.select(*kept)
+    return rows.join(spot, rows[tree].eqNullSafe(spot[pt]) & (rows.node == spot[pn])).drop(pt, pn)
 
 
 def format_paths(paths: DataFrame, tree: str, learn: str = "assistant") -> DataFrame:

@@ -8,12 +8,14 @@ the whole sets.
 
 ``edited_pairs`` compares every document with an edited form and with its successor
 in ascending id. Documents are dealt to id ranges in one shuffle, compressed; the
-first document of a range is also sent to the range before, so a task sees each
-document's successor, and the first of all follows the last.
+first document of a range is also sent to the range before (of rows that repeat it,
+one for each batch), so a task sees each document's successor, and the first of all
+follows the last.
 
 Defined results: a null or empty text has no shingles, equal slots with other empty
-texts and with no others; equal ids are ordered by their texts; a null id comes
-first; an empty table gives no rows; other columns are ignored.
+texts and with no others; equal ids are ordered by a 64-bit hash of their texts
+(Spark's ``xxhash64``); a null id comes first; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -109,19 +111,21 @@ def edited_pairs(docs: DataFrame, params: MinHashParams = MinHashParams()) -> Da
     """
     p, n = params, partitions(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     ends = np.unique(np.array(rows.approxQuantile("key", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], np.float64).astype(np.int64))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("key").to_numpy(zero_copy_only=False)
+            ids, ties = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tie"))
             part = np.searchsorted(ends, ids, side="right")
-            order = np.lexsort((ids, part))
+            order = np.lexsort((ties, ids, part))
             first = order[np.unique(part[order], return_index=True)[1]] if len(order) else order
-            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(ids[first], pa.int64())], ["part", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(ids[first], pa.int64()), pa.array(ties[first], pa.int64())], ["part", "key", "tie"])
 
-    # One row for each range: its smallest key.
-    lowest = {r.part: r.key for r in rows.select("key").mapInArrow(heads, "part int, key long").groupBy("part").agg(F.min("key").alias("key")).collect()}
+    # One row for each range: its first document.
+    found = rows.select("key", "tie").mapInArrow(heads, "part int, key long, tie long").groupBy("part").agg(F.min(F.struct("key", "tie")).alias("first"))
+    lowest = {r.part: tuple(r["first"]) for r in found.collect()}
     used = sorted(lowest)
     head_to = {lowest[q]: used[i - 1] for i, q in enumerate(used)}
 
@@ -131,16 +135,18 @@ def edited_pairs(docs: DataFrame, params: MinHashParams = MinHashParams()) -> Da
             ids = b.column("key").to_numpy(zero_copy_only=False)
             part = np.searchsorted(ends, ids, side="right").astype(np.int32)
             packed = np.array([packer.compress((t or "").encode()) for t in b.column("text").to_pylist()] + [None], object)[:-1]
-            copy = np.flatnonzero([k in head_to for k in ids.tolist()])
+            ties = b.column("tie").to_numpy(zero_copy_only=False)
+            heads = {k: i for i, k in enumerate(zip(ids.tolist(), ties.tolist(), strict=True)) if k in head_to}
+            copy = np.array(list(heads.values()), np.int64)
             take = np.concatenate([np.arange(len(ids)), copy])
-            dest = np.concatenate([part, np.array([head_to[int(ids[i])] for i in copy], np.int32)])
+            dest = np.concatenate([part, np.array([head_to[k] for k in heads], np.int32)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(dest, pa.int32()), pa.array(np.arange(len(take)) >= len(ids)), pa.array(ids[take], pa.int64()), b.column("doc_id").take(pa.array(take)), pa.array(packed[take].tolist(), pa.binary())],
-                ["part", "after", "key", "doc_id", "packed"],
+                [pa.array(dest, pa.int32()), pa.array(np.arange(len(take)) >= len(ids)), pa.array(ids[take], pa.int64()), pa.array(ties[take], pa.int64()), b.column("doc_id").take(pa.array(take)), pa.array(packed[take].tolist(), pa.binary())],
+                ["part", "after", "key", "tie", "doc_id", "packed"],
             )
 
-    dealt = rows.mapInArrow(deal, "part int, after boolean, key long, doc_id long, packed binary")
-    placed = dealt.repartition(n, "part").sortWithinPartitions("part", "after", "key", "packed").select("after", "doc_id", "packed")
+    dealt = rows.mapInArrow(deal, "part int, after boolean, key long, tie long, doc_id long, packed binary")
+    placed = dealt.repartition(n, "part").sortWithinPartitions("part", "after", "key", "tie").select("after", "doc_id", "packed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zs.ZstdDecompressor()

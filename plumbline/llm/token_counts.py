@@ -8,15 +8,22 @@ and carries the last end id before it, so a document that crosses any number of
 blocks is counted once.
 
 Files are read with Spark's ``binaryFile`` source, so any store that Spark reads
-will do; as that source takes a file as a row, files must stay under 2 GB (the
-writer here makes one for each input partition).
+will do; that source takes a file as a row, of less than 2 GB. The writer here starts a
+new file after ``FILE_DOCS`` documents, so its files are far smaller and a task holds one.
+
+The writer also keeps a sidecar: the documents' ids in the order of the files, written by
+the same task that writes the tokens. The scan doesn't need it; ``name_documents`` tells
+with it which document a count belongs to.
 
 Defined results: ids after the last end id of a file form a document that is not
-closed; an empty document has no ids; an empty file or folder gives no rows.
+closed; a null or empty text has no ids; repeated rows and ids, null ids too, are
+documents of their own; an empty file or folder gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +35,22 @@ from plumbline.llm.common import bounded
 from plumbline.llm.tokens import Encoder
 
 
+#: Documents in a file of the writer.
+FILE_DOCS = 10_000
+
+#: A null id in the sidecar.
+NO_ID = -(1 << 63)
+
+
 def write_flat(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2) -> None:
-    """Encode ``text`` rows to flat files of ``width``-byte ids, one file for each partition, in its row order.
+    """Encode ``doc_id, text`` rows to flat files of ``width``-byte ids under ``path/kind=tokens``, in row order.
 
-    Spark's text writer puts a separator after each row: here the bytes of the end id.
+    The ids of the documents go to ``path/kind=ids``, eight bytes each. Spark's text writer
+    puts a separator after each row: here the bytes of the end id. It keeps a task's rows in
+    order as long as it may hold both files open.
     """
-    kind = f"<u{width}"
-    end = np.array([end_id], kind).tobytes().decode("latin-1")
+    code = f"<u{width}"
+    end = np.array([end_id], code).tobytes().decode("latin-1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
@@ -44,11 +60,44 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_id: int, width:
                 ids = np.frombuffer(x, "<u4")
                 if len(ids) and (ids.max() >= 1 << (8 * width) or (ids == end_id).any()):
                     raise ValueError("an id doesn't fit the width, or is the end id")
-                coded.append(ids.astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["value"])
+                coded.append(ids.astype(code).tobytes())
+            names = [struct.pack("<q", NO_ID if i is None else i) for i in b.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(coded + names, pa.binary()), pa.array(["tokens"] * len(coded) + ["ids"] * len(names))], ["value", "kind"])
+
+    flat = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "value binary, kind string")
+    conf, key = docs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, "4")
+    try:
+        flat.select(F.col("value").cast("string"), "kind").write.partitionBy("kind").option("maxRecordsPerFile", FILE_DOCS).option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
+    finally:
+        conf.set(key, before)
+
+
+def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """``file, ordinal, doc_id`` of a sidecar; ``file`` is the task's and the file's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("file"), b.column("content"), strict=True):
+                cells = np.frombuffer(content.as_buffer(), [("doc_id", "<i8"), ("end", f"V{width}")])["doc_id"]
+                for k in range(0, len(cells), 10_000):
+                    part = cells[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(np.arange(k, k + len(part))), pa.array(part.astype(np.int64), mask=part == NO_ID)], ["file", "ordinal", "doc_id"])
+
+    return _files(spark, f"{path}/kind=ids").mapInArrow(run, "file string, ordinal long, doc_id long")
+
+
+def name_documents(counts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` beside each count of the writer's files: both tables are dealt by file, which holds a bounded number."""
+    return counts.join(ids, ["file", "ordinal"], "left")
+
 
-    flat = docs.select(F.col("text").cast("string")).mapInArrow(run, "value binary")
-    flat.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, content``: a writer's file is known by the numbers of its task and of its place there, else by its name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    number = F.concat_ws("-", F.regexp_extract(name, "^part-([0-9]+)-.*[.-]c([0-9]+)", 1), F.regexp_extract(name, "^part-([0-9]+)-.*[.-]c([0-9]+)", 2))
+    return spark.read.format("binaryFile").load(path).select(F.when(number == "-", name).otherwise(number).alias("file"), "content")
 
 
 def scan_blocks(spark: SparkSession, path: str, end_id: int, width: int = 2, block_ids: int = 1 << 19) -> DataFrame:
@@ -64,8 +113,7 @@ def scan_blocks(spark: SparkSession, path: str, end_id: int, width: int = 2, blo
                     ends = np.flatnonzero(block == end_id)
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k // block_ids], pa.int64()), pa.array([len(block)], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "n_ids", "ends"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, block long, n_ids long, ends array<long>")
+    return _files(spark, path).mapInArrow(run, "file string, block long, n_ids long, ends array<long>")
 
 
 def count_tokens(blocks: DataFrame) -> DataFrame:

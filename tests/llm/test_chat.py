@@ -44,3 +44,17 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     out = chat.format_paths(chat.reply_paths(turns, "conv_id"), "conv_id")
     assert out.select(F.size(chat.read_turns(F.col("formatted")))).first()[0] == 3
     assert chat.format_paths(chat.reply_paths(turns.where("false"), "conv_id"), "conv_id").count() == 0
+
+
+def test_names_that_the_paths_use_themselves(spark):
+    rows = [(1, 1, None, "user", "a", 0.0, *range(6)), (1, 2, 1, "assistant", "b", 0.0, *range(6)), (None, 1, None, "user", "c", 0.0, *range(6))]
+    df = spark.createDataFrame(rows, MSG + ", pn int, pt int, leaf int, pos int, Branch int, hn int")
+    out = chat.reply_paths(df, "conv")
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and {"pn", "pt", "hn"} <= set(out.columns)
+    done = {r.conv: r.formatted for r in chat.format_paths(out, "conv").collect()}
+    assert set(done) == {1, None} and ">\nb\n<" in done[1]
+
+
+def test_very_long_text(spark):
+    text = "<a> \\ " * 100_000
+    assert formatted(spark, [(1, 1, None, "assistant", text, 0.0)])[1, 1][1] == text

@@ -15,6 +15,9 @@ RULES = {
 }
 
 
+KINDS_OF_BASE = tuple(RULES)
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
