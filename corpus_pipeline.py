@@ -3,8 +3,13 @@ documents that hold benchmark items, redact personal data, pack what is left.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as
 Parquet and read again for the next. All but the last return the columns of
-``documents``. Null and empty texts pass through every stage as documents without
-words; an empty table stays empty.
+``documents``, whatever their names.
+
+Defined results: null and empty texts pass through every stage as documents without
+words; an empty table stays empty; rows that repeat an id are one document to the
+near-copy stage, which keeps one of them, and rows of their own to the others; a row
+without an id is no copy of another, but goes if it is toxic or holds a benchmark item;
+of equally near copies the smallest id stays; a score at the threshold rejects.
 """
 
 from __future__ import annotations
@@ -15,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, ngram_join, packing, pii, toxicity
+from plumbline.llm.common import fresh
 from plumbline.llm.tokens import vocabulary
 from plumbline.session import ship
-from plumbline.sources.shared import broadcast_if_small, work_table
+from plumbline.sources.shared import broadcast_if_small, drop_table, work_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,10 +45,10 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items; each row, one without an id too, is known by a hash of its id and text."""
     ship(spark)
-    row = F.xxhash64("doc_id", "text")
+    row, other = F.xxhash64("doc_id", "text"), fresh("leak", docs.columns)
     hits = decontamination.find_leaks(docs.withColumn("doc_id", row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = work_table(hits.select(F.col("doc_id").alias("gone")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(gone, ngram_join.MOST_BROADCAST), row == F.col("gone"), "left_anti")
+    leaks = work_table(hits.select(F.col("doc_id").alias(other)).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks, ngram_join.MOST_BROADCAST), row == F.col(other), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each on what the one before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work_table(stage(spark, docs, sf_dir), name)
+        done = work_table(stage(spark, docs, sf_dir), name)
+        drop_table(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
