@@ -160,3 +160,20 @@ def test_pipeline(spark, tmp_path):
     empty = docs_df.sparkSession.read.parquet(f"{tmp_path}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(3)
+    items = [(k, prose(rng, 40)) for k in range(5)]
+    names = ["gone", "again", "leak", "spans", "sd", "sh", "h", "found", "score", "other", "node", "block", "label", "o", "size"]
+    rows = [(i, prose(rng, 60) if i % 4 else "same words here for all of these rows", "en", "s", 1, *range(len(names))) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 40
