@@ -233,6 +233,46 @@ def enough_words(spot: np.ndarray, first: np.ndarray, last: np.ndarray, window:
     return good
 
 
+#: 64-bit words of a signature of a set of known words.
+SIGN = 16
+
+
+class Signatures:
+    """Bits of the known words in runs of steps: ``tables[k][i]`` are those of the ``2**k`` steps from ``i`` on."""
+
+    def __init__(self, steps: int):
+        self.tables = [np.zeros((steps, SIGN), np.uint64)]
+
+    def add(self, step: np.ndarray, word: np.ndarray) -> None:
+        """One known word at most for each step."""
+        self.tables[0][step, (word >> 6) % SIGN] |= np.uint64(1) << (word & 63).astype(np.uint64)
+
+    def close(self, longest: int) -> None:
+        """Runs of up to ``longest`` steps can be asked for from now on."""
+        while 2 << (len(self.tables) - 1) <= longest:
+            t, half = self.tables[-1], 1 << (len(self.tables) - 1)
+            up = t.copy()
+            up[: len(t) - half] |= t[half:]
+            self.tables.append(up)
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Signatures of the runs ``[low, high)``, none of them empty: two overlapping runs of a power of two each."""
+        out = np.zeros((len(low), SIGN), np.uint64)
+        power = np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(power):
+            at = np.flatnonzero(power == k)
+            out[at] = self.tables[k][low[at]] | self.tables[k][high[at] - (1 << int(k))]
+        return out
+
+
+def mask_of(spot: np.ndarray) -> tuple[np.ndarray, int]:
+    """The signature of distinct words, and how many of them share a bit with another."""
+    mask = np.zeros(SIGN, np.uint64)
+    for w in spot.tolist():
+        mask[(w >> 6) % SIGN] |= np.uint64(1 << (w & 63))
+    return mask, len(spot) - int(np.bitwise_count(mask).sum())
+
+
 def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabulary, space: np.ndarray, p: LeakParams) -> DataFrame:
     """``doc_id, item_id, score``: verified hits of a block of passages in all documents."""
     vectors = (space * idf[:, None]).astype(np.float32)
@@ -241,6 +281,10 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
     targets = np.stack([np.sqrt(n).astype(np.float32) @ vectors[spot] for spot, n in terms])
     need = p.weak * np.array([len(f.words) for f in found]) - 1e-9
     beside = -(-p.passage // p.step)
+    masks = [mask_of(spot) for spot, _ in terms]
+    bits = np.stack([m for m, _ in masks])
+    # So many bits a passage and the words around a window share at least: repeats in the passage and shared bits count for it.
+    least = need - np.array([n.sum() - len(n) + shared for (_, n), (_, shared) in zip(terms, masks, strict=True)])
     square = (targets**2).sum(1)
     norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
     sent = [(f.item, f.words.tobytes(), f.answer.tobytes()) for f in found]
@@ -265,9 +309,15 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
             begin = np.searchsorted(at, np.arange(base[-1] + 1))
             sums = np.zeros((base[-1], vectors.shape[1]), np.float32)
             nth = np.arange(len(at)) - begin[at]
+            signs = Signatures(base[-1])
             for k in range(p.step):  # one word of each step at a time: much faster than reduceat
                 one = nth == k
                 sums[at[one]] += vectors[spot[one]]
+                signs.add(at[one], spot[one])
+            signs.close(p.long // p.step + 2 * beside)
+            above = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
+            np.cumsum(sums, axis=0, out=above[1:])
+            del sums
             reach = np.append(0.0, np.cumsum(np.bincount(at, weights=norms[spot], minlength=base[-1])))
             holder = np.repeat(np.arange(b.num_rows), steps)
             spots = np.arange(base[-1])
@@ -278,15 +328,21 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
                 busy = np.flatnonzero(reach[stop] - reach[:-1] >= p.share * np.sqrt(norm.min()))
                 for s in range(0, len(busy), 8192):
                     some = busy[s : s + 8192]
-                    above = np.zeros((stop[some[-1]] - some[0] + 1, vectors.shape[1]), np.float32)
-                    np.cumsum(sums[some[0] : stop[some[-1]]], axis=0, out=above[1:])
-                    window = above[stop[some] - some[0]] - above[some - some[0]]
+                    window = above[stop[some]] - above[some]
                     good = (norm > 0) & (window @ matrix >= (p.share - 1e-3) * norm)
                     i, t = np.nonzero(good)
                     t = group[t]
                     # What is around a window, as in the verification, in whole steps.
                     low = np.maximum(some - beside, base[holder[some]])
                     high = np.minimum(stop[some] + beside, base[holder[some] + 1])
+                    around_signs = signs.of(low, high)
+                    shared = np.zeros(len(i), bool)
+                    for q in range(0, len(i), 1 << 15):
+                        part = slice(q, q + (1 << 15))
+                        shared[part] = np.bitwise_count(around_signs[i[part]] & bits[t[part]]).sum(1) >= least[t[part]]
+                    i, t = i[shared], t[shared]
+                    if not len(i):
+                        continue
                     likely = enough_words(spot, begin[low], begin[high], i, t, terms, need, len(idf))
                     for i, t in zip(i[likely], t[likely], strict=True):
                         r = int(holder[some[i]])
