@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Words, bounded, flat_utf8
+from plumbline.llm.common import Words, bounded, flat_utf8, one_thread
 
 
 @dataclass(frozen=True)
@@ -135,8 +135,13 @@ def weights(docs: DataFrame, found: list[Passage], known: Vocabulary, p: LeakPar
         for b in bounded(batches):
             w = words(b.column("text"))
             at, spot = known.find(w.hashes)
-            row = np.repeat(np.arange(b.num_rows), np.diff(w.first))
-            count += np.bincount(np.unique(row[at] * width + spot) % width, minlength=width)
+            row = np.searchsorted(w.first, at, side="right") - 1
+            few = max(1, (1 << 23) // width)
+            for k in range(0, b.num_rows, few):  # a table of some documents and all words
+                i, j = np.searchsorted(row, (k, k + few))
+                has = np.zeros((min(few, b.num_rows - k), width), bool)
+                has[row[i:j] - k, spot[i:j]] = True
+                count += has.sum(0)
             n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(count), -1)), pa.array(np.append(count[count > 0], n))], ["k", "n"])
 
@@ -175,6 +180,7 @@ def latent(found: list[Passage], idf: np.ndarray, known: Vocabulary, docs: DataF
 
     def power(q: np.ndarray, gram: bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
             total = np.zeros((q.shape[1] if gram else width, q.shape[1]))
             for b in batches:
                 for k in range(0, b.num_rows, 64):
@@ -290,9 +296,10 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
     sent = [(f.item, f.words.tobytes(), f.answer.tobytes()) for f in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         texts = [(item, np.frombuffer(w, np.uint64), np.frombuffer(a, np.uint64)) for item, w, a in sent]
         groups = [(k, np.flatnonzero(wide == (k == p.long)), k // p.step) for k in (p.short, p.long)]
-        groups = [(k, g, m, targets[g].T.copy(), square[g]) for k, g, m in groups if len(g)]
+        groups = [(k, g, m, targets[g].T.copy(), square[g], np.where(square[g] > 0, (p.share - 1e-3) * square[g], np.inf).astype(np.float32)) for k, g, m in groups if len(g)]
         for b in bounded(batches):
             w = words(b.column("text"))
             count = np.diff(w.first)
@@ -322,15 +329,13 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
             holder = np.repeat(np.arange(b.num_rows), steps)
             spots = np.arange(base[-1])
             hits: dict[tuple[int, int], float] = {}
-            for size, group, m, matrix, norm in groups:
+            for size, group, m, matrix, norm, limit in groups:
                 stop = np.minimum(spots + m, base[holder + 1])
                 # A window is at most as long as its words' vectors together: most fall short of any passage.
                 busy = np.flatnonzero(reach[stop] - reach[:-1] >= p.share * np.sqrt(norm.min()))
                 for s in range(0, len(busy), 8192):
                     some = busy[s : s + 8192]
-                    window = above[stop[some]] - above[some]
-                    good = (norm > 0) & (window @ matrix >= (p.share - 1e-3) * norm)
-                    i, t = np.nonzero(good)
+                    i, t = np.nonzero((above[stop[some]] - above[some]) @ matrix >= limit)
                     t = group[t]
                     # What is around a window, as in the verification, in whole steps.
                     low = np.maximum(some - beside, base[holder[some]])
