@@ -50,17 +50,19 @@ def stair_approaches(elements: DataFrame, offset: int = 0) -> DataFrame:
     """An edge from each stair to the nearest door on its level (J4, F8); ties take the first door.
 
     Levels are heights within 2.2 m or the same storey. Doors and stairs meet in cells of
-    their height and in their storey, so each stair sees the doors of its level only.
+    their height and in their storey, so each stair sees the doors of its level only; where
+    elements have a ``building``, those of its own building.
     """
     reach = 2.2
+    building = F.col("building") if "building" in elements.columns else F.lit("")
     placed = elements.where("center is not null")
-    doors = placed.where("ifc_type = 'IfcDoor'").select(F.col("guid").alias("start_guid"), F.col("center").alias("d"), F.col("storey").alias("ds"), F.col("ordinal").alias("o"))
-    stairs = placed.where(F.col("ifc_type").isin(V.STAIRS)).select(F.col("guid").alias("end_guid"), F.col("center").alias("s"), F.col("storey").alias("ss"))
+    doors = placed.where("ifc_type = 'IfcDoor'").select(building.alias("u"), F.col("guid").alias("start_guid"), F.col("center").alias("d"), F.col("storey").alias("ds"), F.col("ordinal").alias("o"))
+    stairs = placed.where(F.col("ifc_type").isin(V.STAIRS)).select(building.alias("u"), F.col("guid").alias("end_guid"), F.col("center").alias("s"), F.col("storey").alias("ss"))
     cell = lambda z: F.floor(z / reach)
-    near = stairs.withColumn("c", F.explode(F.sequence(cell(F.col("s.z")) - 1, cell(F.col("s.z")) + 1))).join(doors.withColumn("c", cell(F.col("d.z"))), "c").where(F.abs(F.col("d.z") - F.col("s.z")) <= reach).drop("c")
-    same = stairs.join(doors, F.col("ss") == F.col("ds"))
+    near = stairs.withColumn("c", F.explode(F.sequence(cell(F.col("s.z")) - 1, cell(F.col("s.z")) + 1))).join(doors.withColumn("c", cell(F.col("d.z"))), ["u", "c"]).where(F.abs(F.col("d.z") - F.col("s.z")) <= reach).drop("c")
+    same = stairs.withColumn("ds", F.col("ss")).join(doors, ["u", "ds"])
     gap = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"d.{x}") - F.col(f"s.{x}")) ** 2 for x in "xyz"]))
-    best = near.unionByName(same).withColumn("gap", gap).groupBy("end_guid").agg(F.min(F.struct("gap", "o", "start_guid")).alias("m"))
+    best = near.select(same.columns).unionByName(same).withColumn("gap", gap).groupBy("end_guid").agg(F.min(F.struct("gap", "o", "start_guid")).alias("m"))
     numbered = R.number_rows(best, ["end_guid"], "k")
     return numbered.select(F.format_string("E%05d", F.col("k") + offset).alias("edge_id"), "m.start_guid", "end_guid", F.col("end_guid").alias("via_space_guid"))
 

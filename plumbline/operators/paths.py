@@ -80,3 +80,42 @@ def at_progress(path: Column, share: float) -> Column:
         return F.when(s.done, s).otherwise(F.struct((s.gone + n).alias("gone"), (s.x + d.x * part).alias("x"), (s.y + d.y * part).alias("y"), (s.gone + n >= want).alias("done")))
 
     return F.aggregate(steps(path), start, walk, lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
+
+
+def turn_points(path: Column, least: float = 0.15, leg: float = 0.35) -> Column:
+    """Inner points where the direction turns: the normalised cross product exceeds ``least``, both legs are ``leg`` or more (L3)."""
+
+    def turned(p: Column, i: Column) -> Column:
+        before, after = F.get(path, i - 1), F.get(path, i + 1)
+        ax, ay, bx, by = p.x - before.x, p.y - before.y, after.x - p.x, after.y - p.y
+        a, b = F.hypot(ax, ay), F.hypot(bx, by)
+        known = F.coalesce((F.least(a, b) >= leg) & (a * b > 1e-6), F.lit(False)) & (i > 0) & (i < F.size(path) - 1)
+        return F.when(known, F.abs(ax * by - ay * bx) / (a * b) > least).otherwise(False)
+
+    return F.filter(path, turned)
+
+
+def connector(a: Column, b: Column) -> Column:
+    """The path from one point along x, then along y, to another (L6); points that repeat are taken once."""
+    middle = F.struct(b.x.alias("x"), a.y.alias("y"))
+    same = lambda p, q: (F.abs(p.x - q.x) <= 1e-8) & (F.abs(p.y - q.y) <= 1e-8)
+    inner = F.when(same(a, middle) | same(middle, b), F.array().cast(POINTS)).otherwise(F.array(middle).cast(POINTS))
+    last = F.when(same(a, b), F.array().cast(POINTS)).otherwise(F.array(b).cast(POINTS))
+    return F.concat(F.array(a).cast(POINTS), inner, last)
+
+
+def densify(path: Column, step: float = 0.12) -> Column:
+    """Points at most ``step`` apart on the legs of an orthogonal path, and the last point (L5); a diagonal leg is an error."""
+    n = F.size(path)
+
+    def leg(i: Column) -> Column:
+        a, b = F.element_at(path, i), F.element_at(path, i + 1)
+        dx, dy = b.x - a.x, b.y - a.y
+        long = F.hypot(dx, dy)
+        k = F.greatest(F.lit(1), F.ceil(long / step).cast("int"))
+        points = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct((a.x + dx * (j / k)).alias("x"), (a.y + dy * (j / k)).alias("y")))
+        diagonal = (F.abs(dx) > 1e-8) & (F.abs(dy) > 1e-8)
+        # A leg without length repeats a point, which the next leg gives.
+        return F.when(diagonal, F.raise_error(F.lit("a leg isn't orthogonal")).cast(POINTS)).when(long > 1e-8, points).otherwise(F.array().cast(POINTS))
+
+    return F.when(n >= 2, F.concat(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), leg)), F.slice(path, -1, 1))).otherwise(path)

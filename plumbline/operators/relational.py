@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import work_table
+from plumbline.sources.shared import broadcast_if_small, work_table
 
 
 def pairs_in_group(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -32,9 +32,11 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, ref: st
     points = right.where(F.col(ref).isNotNull()).groupBy(*keys, F.col(ref).alias("_at")).agg(F.min(ref_id).alias("_id"))
     both = left.withColumn("_at", F.col(at)).unionByName(points.withColumn("_ref", F.struct(F.col("_at").alias("v"), F.col("_id").alias("id"))).drop("_id"), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("_at")
-    # A range frame sees references that tie with the row, wherever they are sorted.
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"))
+    # A range frame sees references that tie with the row, wherever they are sorted. Both frames only grow
+    # along their order, so each is one pass over a group; a frame that shrinks would be read again for each row.
     before = F.last("_ref", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_ref", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.last("_ref", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     seen = both.withColumns({"_b": before, "_a": after}).where("_ref is null")
 
     def candidate(side: str) -> Column:
@@ -93,10 +95,16 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str], value: str) ->
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def first_of_each(rows: DataFrame, kind: str, order: list[Column], most: int) -> DataFrame:
-    """The first row of each kind, then the earliest others, ``most`` in all (W6, W7); adds ``opens``."""
-    opens = (F.row_number().over(Window.partitionBy(kind).orderBy(*order)) == 1).cast("int")
-    return rows.withColumn("opens", opens).orderBy(F.desc("opens"), *order).limit(most)
+def first_of_each(rows: DataFrame, kind: str, order: list[str], most: int) -> DataFrame:
+    """The first row of each kind, then the earliest others, ``most`` in all (W6, W7); adds ``opens``.
+
+    ``order`` names columns that tell rows apart. The firsts are minima, aggregated before
+    they are shuffled; no kind is sorted as a whole.
+    """
+    firsts = rows.groupBy(kind).agg(F.min(F.struct(*order)).alias("_first"))
+    met = rows.join(broadcast_if_small(firsts, 10_000), kind)
+    opens = met.withColumn("opens", (F.struct(*order) == F.col("_first")).cast("int")).drop("_first")
+    return opens.orderBy(F.desc("opens"), *order).limit(most)
 
 
 def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:

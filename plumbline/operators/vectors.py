@@ -1,38 +1,57 @@
-"""Nearest reference vectors by dot product."""
+"""Nearest vectors by dot product."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References in a block, and so in a broadcast.
-BLOCK = 20_000
-
-
-def dot(a, b):
-    """Dot product of two arrays in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Bytes of query vectors in a block, which is sent with the tasks.
+BLOCK_BYTES = 16 << 20
 
 
-def best_reference(vectors: DataFrame, references: DataFrame, ident: str, vector: str) -> DataFrame:
-    """``vectors`` with ``nearest_id``, the other reference of the largest dot product (ties: smallest id).
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, ident: str, vector: str) -> DataFrame:
+    """``ident, nearest_id``: for each query the other vector of the largest dot product (ties: smallest id).
 
-    A stated set of references meets all rows, in blocks of at most ``BLOCK``; each block
-    is packed to one array in one row and each vector scans it, so no pairs are shuffled.
+    Queries are a stated set and are taken in blocks of ``BLOCK_BYTES``; a block is one pass over
+    all vectors. A task keeps the best of each query, so a row for each query and task is
+    shuffled and no pair is. Vectors that are null, or of another width than the query, are nobody's.
     """
-    refs = references.select(F.col(ident).alias("rid"), F.col(vector).alias("rv"))
-    blocks = max(1, -(-refs.count() // BLOCK))
-    packed = refs.groupBy(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("rid", "rv")).alias("refs"))
-    out = None
-    for k in range(blocks):
-        one = F.broadcast(packed.where(F.col("block") == k).select("refs"))
-        # The row number of `one` is 1, so this join adds a column and no rows.
-        seen = vectors.join(one, F.lit(True), "left")
-        others = F.filter("refs", lambda r: r.rid != F.col(ident))
-        best = F.array_min(F.transform(others, lambda r: F.struct((-dot(F.col(vector), r.rv)).alias("d"), r.rid.alias("id"))))
-        found = seen.withColumn("_best", best).drop("refs")
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        rest = [c for c in vectors.columns if c != ident]
-        out = out.groupBy(ident).agg(*[F.first(c).alias(c) for c in rest], F.min("_best").alias("_best"))
-    return out.withColumn("nearest_id", F.col("_best.id")).drop("_best")
+    found: list[DataFrame] = []
+
+    def add(block: list[tuple[int, np.ndarray]]) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, int]] = {}
+            for b in batches:
+                rows = [(i, np.array(v, np.float64)) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and v is not None]
+                for width in {len(v) for _, v in rows}:
+                    ids = np.array([i for i, v in rows if len(v) == width], np.int64)
+                    all_rows = np.stack([v for _, v in rows if len(v) == width])
+                    for q, x in block:
+                        if len(x) != width:
+                            continue
+                        dots = np.where(ids == q, -np.inf, np.einsum("ij,j->i", all_rows, x))
+                        top = dots.max()
+                        if top > -np.inf:
+                            best[q] = min(best.get(q, (np.inf, 0)), (-float(top), int(ids[dots == top].min())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([v[0] for v in best.values()], pa.float64()), pa.array([v[1] for v in best.values()], pa.int64())], ["q", "d", "id"])
+
+        found.append(vectors.select(F.col(ident).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "q long, d double, id long"))
+
+    block: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for r in queries.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null").toLocalIterator():
+        block.append((r.i, np.array(r.v, np.float64)))
+        size += 8 * len(r.v)
+        if size >= BLOCK_BYTES:
+            add(block)
+            block, size = [], 0
+    if block or not found:
+        add(block)
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    return rows.groupBy(F.col("q").alias(ident)).agg(F.min(F.struct("d", "id")).id.alias("nearest_id"))

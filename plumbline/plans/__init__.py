@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("rules", "relations", "sequences", "texts", "networks")
+FAMILIES = ("rules", "relations", "sequences", "texts", "networks", "plans")
 
 
 def load():

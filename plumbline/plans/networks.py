@@ -43,12 +43,16 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connected_components(supplier_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {REACH_SQL} SELECT a AS source, b AS node FROM r WHERE a % 5 = 0")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {REACH_SQL} SELECT a AS source, min(b) AS reached, count(*) AS n_reached FROM r GROUP BY a")
 def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the sources (every fifth supplier) reach (H3): nodes of the source's component."""
+    """What every supplier reaches (H3): the set's name, its smallest member, and its size.
+
+    In an undirected graph the set is the component; it is given by name, as its members for
+    each source would be the square of its size.
+    """
     found = G.connected_components(supplier_edges(spark, sf_dir))
-    sources = found.where("node % 5 = 0").select(F.col("node").alias("source"), "component")
-    return sources.join(found, "component").select("source", "node")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n_reached"))
+    return found.join(sizes, "component").select(F.col("node").alias("source"), F.col("component").alias("reached"), "n_reached")
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {WALK_SQL} SELECT * FROM d")

@@ -172,8 +172,7 @@ def directional_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topn_with_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty examples that show every reason first."""
     rows = table(spark, sf_dir, "lineitem").withColumn("reason", F.concat("l_returnflag", "l_linestatus"))
-    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return R.first_of_each(rows, "reason", order, 40).select("l_orderkey", "l_linenumber", "l_partkey", "reason", "opens")
+    return R.first_of_each(rows, "reason", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 40).select("l_orderkey", "l_linenumber", "l_partkey", "reason", "opens")
 
 
 @query(
@@ -190,17 +189,17 @@ def canonical_pair_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT vec_id, label, (SELECT arg_min(b.vec_id, (-list_dot_product(a.embedding, b.embedding), b.vec_id)) FROM embeddings b WHERE b.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) AS nearest_id
-    FROM embeddings a
+    SELECT vec_id, label, (SELECT arg_min(b.vec_id, (-list_dot_product(a.embedding, b.embedding), b.vec_id)) FROM embeddings b WHERE b.vec_id <> a.vec_id) AS nearest_id
+    FROM embeddings a WHERE vec_id % 100 = 0
     """
 )
 def embedding_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each vector the reference vector (ids divisible by 100) with the largest dot product.
+    """For each query vector (ids divisible by 100) the vector of the largest dot product among all.
 
-    The references are a stated set: they are joined in blocks of a bounded number, each
-    broadcast behind a check of its size.
+    The queries are a stated set, taken in blocks of bounded bytes; all rows are searched.
     """
-    from plumbline.operators.vectors import best_reference
+    from plumbline.operators.vectors import nearest_of_all
 
     vectors = table(spark, sf_dir, "embeddings")
-    return best_reference(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding").select("vec_id", "label", "nearest_id")
+    queries = vectors.where("vec_id % 100 = 0")
+    return queries.select("vec_id", "label").join(nearest_of_all(vectors, queries, "vec_id", "embedding"), "vec_id", "left")

@@ -62,14 +62,13 @@ def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT DISTINCT user_id % 10 AS grp, event_id AS v FROM events WHERE event_id % 3 <> 1 OR user_id % 2 = 0), "
-    "i AS (SELECT grp, v // 5 AS v FROM d GROUP BY 1, 2), g AS (SELECT grp, v, v - row_number() OVER (PARTITION BY grp ORDER BY v) AS k FROM i) "
+    "WITH i AS (SELECT DISTINCT user_id % 10 AS grp, event_id AS v FROM events), g AS (SELECT grp, v, v - row_number() OVER (PARTITION BY grp ORDER BY v) AS k FROM i) "
     "SELECT grp, min(v) AS lo, max(v) AS hi FROM g GROUP BY grp, k"
 )
 def run_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive integers."""
-    rows = table(spark, sf_dir, "events").where("event_id % 3 <> 1 OR user_id % 2 = 0")
-    return I.runs(rows.select(F.expr("user_id % 10").alias("grp"), F.expr("event_id div 5").alias("v")), "grp", "v")
+    """Runs of consecutive event ids in groups of users."""
+    rows = table(spark, sf_dir, "events")
+    return I.runs(rows.select(F.expr("user_id % 10").alias("grp"), F.col("event_id").alias("v")), "grp", "v")
 
 
 @query(
