@@ -161,14 +161,21 @@ def exact_edges(docs: DataFrame, about: DataFrame, size: int, num: int, den: int
     hot = np.sort(np.array([r.sign for r in often], np.int64).view(np.uint64))
     few = work_table(first_few(docs.where("doc_id is not null"), size, num, den, hot), "few")
     keyed = few.select("node", "sign", F.explode(F.array(F.col("g"), F.col("g") - 1)).alias("g"))
-    lead = work_table(keyed.groupBy("sign", "g").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("sign", "g", "b"), "lead")
-    stars = work_table(keyed.join(lead, ["sign", "g"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
+    lead = keyed.groupBy("sign", "g").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("sign", "g", "b")
+    linked = work_table(keyed.join(lead, ["sign", "g"]), "linked")
+    # A set is named by the least set that it meets; then the sets of a posting, and their names, meet. Near copies
+    # share a name at once, so a group of them has an edge for each of its sets, not for each of their postings.
+    names = linked.groupBy("node").agg(F.min("b").alias("name"))
+    named = work_table(linked.select("sign", "g", "node").join(names, "node"), "named")
+    least = named.groupBy("sign", "g").agg(F.min("name").alias("least"))
+    ends = names.select(F.col("node").alias("a"), F.col("name").alias("b")).unionByName(named.select("sign", "g", "name").distinct().join(least, ["sign", "g"]).select(F.col("name").alias("a"), F.col("least").alias("b")))
+    stars = work_table(ends.where("a <> b").distinct(), "stars")
     reps = about.where("key1 is not null and doc_id is not null").groupBy("key1").agg(F.min("doc_id").alias("rep"))
     ends = stars
     for end in ("a", "b"):
         ends = ends.join(reps.select(F.col("key1").alias(end), F.col("rep").alias(f"{end}_rep")), end)
     edges = work_table(ends.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).where("a <> b").distinct(), "candidates")
-    for t in (few, lead, stars):
+    for t in (few, linked, named, stars):
         drop_table(t)
     return edges
 
