@@ -57,7 +57,7 @@ def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {WALK_SQL} SELECT * FROM d")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances between all connected suppliers."""
+    """Distances between all connected suppliers."""
     edges = supplier_edges(spark, sf_dir)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("source")).distinct()
     return G.shortest_paths(edges, nodes).select("source", "node", "distance")
@@ -65,7 +65,7 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest of taking edges by weight and id."""
+    """The forest of taking edges by weight and id."""
     return G.spanning_forest(supplier_edges(spark, sf_dir), ["weight", "edge_id"])
 
 

@@ -156,7 +156,7 @@ def floor_summary_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def directional_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One status for the attempts of a key, and the longest blocked attempt."""
+    """One status for the attempts of a key, and the longest blocked attempt."""
     lines = table(spark, sf_dir, "lineitem").withColumn("status", F.when(F.col("l_linestatus") == "O", "pass").otherwise("blocked"))
     found = R.directional(lines, "l_orderkey", "status", "l_extendedprice", "l_partkey")
     return found.withColumn("attempt", F.coalesce("attempt", F.lit(-1)))
