@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -19,7 +21,11 @@ _SPACE = " \\t\\n\\x0b\\x0c\\r"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ž"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
-SPACED = re.compile(f" [{_LETTER}]+")
+
+#: Byte-level vocabularies write printable Latin-1 bytes as they are, and the others, in order, as U+0100 and on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+_SPACE_SIGN = _SIGNS[0x20]
 
 #: Pieces that a worker keeps, at about 200 bytes each.
 MOST_PIECES = 400_000
@@ -43,7 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -53,20 +59,12 @@ class Encoder:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces; spaced words go together, a line for each, as a line break is a piece of its own."""
-        spaced = [p for p in pieces if SPACED.fullmatch(p)]
-        chunks = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
-        if chunks:
-            for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["\n".join(c) for c in chunks], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                cuts = (np.flatnonzero(ids == self.line) * 4).tolist()
-                raw = ids.tobytes()
-                self.known.update(zip(chunk, map(raw.__getitem__, map(slice, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)])), strict=True))
-        rest = [p for p in pieces if p not in self.known]
-        if rest:
-            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Encode new pieces: each is one word of the library's model, its bytes written as the vocabulary writes them."""
+        for p in pieces:
+            written = p.replace(" ", _SPACE_SIGN) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SIGNS)
+            ids = [t.id for t in self.model.tokenize(written)]
+            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _make_room(self, new: int) -> None:
         """Forget the pieces met last where there are too many: those met first are the frequent ones."""
@@ -82,13 +80,17 @@ class Encoder:
             cut.append(PIECE.findall(t) if PLAIN.fullmatch(t) and not any(s in t for s in self.specials) else t)
         out = []
         for group in self._groups(cut):
-            pieces = set().union(*(c for c in group if isinstance(c, list)))
-            if missing := pieces.difference(self.known):
+            # One lookup for each piece; what is found is held, so that making room can't take it away.
+            found = [list(map(self.known.get, c)) if isinstance(c, list) else None for c in group]
+            new = [i for i, ids in enumerate(found) if ids is not None and None in ids]
+            missing = {p: None for i in new for p, x in zip(group[i], found[i], strict=True) if x is None}
+            if missing:
                 self._make_room(len(missing))
-                self._learn(sorted(pieces.difference(self.known)))
-            get = self.known.__getitem__
-            for c in group:
-                out.append(b"".join(map(get, c)) if isinstance(c, list) else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
+                self._learn(missing)
+                for i in new:
+                    found[i] = [self.known[p] if x is None else x for p, x in zip(group[i], found[i], strict=True)]
+            for c, ids in zip(group, found, strict=True):
+                out.append(b"".join(ids) if ids is not None else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
     @staticmethod
