@@ -108,6 +108,11 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator
             start = stop
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of ``n`` numbers from ``first`` on, one range after the other."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit sums over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -55,12 +55,11 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_id: int, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for b in bounded(batches):
-            coded = []
-            for x in encoder.encode(b.column("text").to_pylist()):
-                ids = np.frombuffer(x, "<u4")
-                if len(ids) and (ids.max() >= 1 << (8 * width) or (ids == end_id).any()):
-                    raise ValueError("an id doesn't fit the width, or is the end id")
-                coded.append(ids.astype(code).tobytes())
+            ids, counts = encoder.encode_column(b.column("text"))
+            if len(ids) and (ids.max() >= 1 << (8 * width) or (ids == end_id).any()):
+                raise ValueError("an id doesn't fit the width, or is the end id")
+            body, ends = ids.astype(code).tobytes(), np.cumsum(counts) * width
+            coded = [body[e - n : e] for e, n in zip(ends.tolist(), (counts * width).tolist(), strict=True)]
             names = [struct.pack("<q", NO_ID if i is None else i) for i in b.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(coded + names, pa.binary()), pa.array(["tokens"] * len(coded) + ["ids"] * len(names))], ["value", "kind"])
 

@@ -49,12 +49,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, place = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in bounded(batches):
-            coded = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-            counts = np.array([len(x) // 4 for x in coded], np.int64)
+            coded, counts = encoder.encode_column(b.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coded))
             places = place + offsets[:-1]
             place += int(offsets[-1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(places), pa.array(counts), ids], ["doc_id", "part", "place", "n_tokens", "ids"])

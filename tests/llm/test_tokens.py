@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def test_encoder_forgets_and_stays_right(library, monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_columns_equal_the_library(library, monkeypatch):
+    """Texts of hostile characters, whole columns at once: cuts at texts' borders, long pieces, forgetting in between."""
+    monkeypatch.setattr(tokens, "MOST_PIECES", 300)
+    monkeypatch.setattr(tokens, "MOST_IDS", 2000)
+    encoder = tokens.Encoder(tokens.vocabulary())
+    signs = ["'", "'s", "'re", "'ll", "'LL", "s", "t", "re", "d", "A", "é", "Ž", "ſ", "×", "½", "\u0149", " ", " ", "  ", "\n", "\t", "\r\n", "\x00", "\x1c", "7", "!", "_", "-" * 17, "x" * 16, "\u00a0", "你"]
+    rng = np.random.default_rng(3)
+    for plain in (True, False) * 20:
+        some = [s for s in signs if not plain or s.isascii() or s in "éŽ\u0149"]
+        texts = ["".join(rng.choice(some, rng.integers(0, 12))) for _ in range(60)] + [None, "'", "s", "<|endoftext|>" if not plain else ""]
+        ids, counts = encoder.encode_column(pa.array(texts), 7)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+    assert encoder.n <= 300
+    assert [len(x) for x in encoder.encode_column(pa.array([], pa.string()), 0)] == [0, 0]
+
+
 def docs(spark):
     return spark.createDataFrame([(20 - k, t, "x") for k, t in enumerate(TEXTS)] + [(20, "twice", "x"), (None, "no id", "x")], "doc_id long, text string, ids string")
 
