@@ -11,9 +11,10 @@
    dimensions, from a fixed number of partitions. Passages of which the space keeps
    less than ``cover`` add the directions they lack, so each can be found.
 3. Search. Every document is cut into overlapping windows, the sums of whole steps of
-   words. A window's latent vector is compared with every passage, in blocks; the
-   projection on the passage must reach the share of its length that ``weak`` of its
-   words have even if they all weigh least and the others most.
+   words. A window's latent vector is compared with every passage, in blocks: as it is a
+   sum over words, so is its product with the passage, and the words' products are made
+   once for a block. The projection on the passage must reach the share of its length
+   that ``weak`` of its words have even if they all weigh least and the others most.
 4. Verification. The longest common subsequence of passage words and the words
    around the window decides: ``strong`` of the passage is a hit; from ``weak`` on the
    passage's answer (the ``answer`` column, or else its last words) must be there too.
@@ -39,7 +40,7 @@ from plumbline.llm.common import Words, bounded, flat_utf8, one_thread
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``block`` benchmark passages of ``passage`` words and ``rank`` dimensions bound what is sent to tasks (some 50 MB at most)."""
+    """``block`` benchmark passages of ``passage`` words and ``rank`` dimensions bound what is sent to tasks (some 100 MB at most: two bytes for each word and passage)."""
 
     rank: int = 192
     extra: int = 16
@@ -111,18 +112,26 @@ def passages(rows: list[tuple[int, str | None, str | None]], p: LeakParams) -> l
 
 
 class Vocabulary:
-    """Sorted hashes of the benchmark's words; a small table of their top bits passes over most other words."""
+    """Sorted hashes of the benchmark's words, found by a table of their top bits."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
-        self.top = np.zeros(1 << 20, bool)
-        self.top[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        top = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.top = np.full(1 << 20, -1, np.int32)
+        self.top[top[::-1]] = np.arange(len(top))[::-1]
+        self.alike = int(np.unique(top, return_counts=True)[1].max())
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``words`` of known words, and which words they are."""
-        maybe = np.flatnonzero(self.top[(words >> np.uint64(44)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.hashes, words[maybe]), len(self.hashes) - 1)
-        same = self.hashes[spot] == words[maybe]
+        spot = self.top[(words >> np.uint64(44)).astype(np.int64)]
+        maybe = np.flatnonzero(spot >= 0)
+        spot, words = spot[maybe].astype(np.int64), words[maybe]
+        same = self.hashes[spot] == words
+        for k in range(1, self.alike):  # words with the same top bits stand one after the other
+            other = np.flatnonzero(~same)
+            at = np.minimum(spot[other] + k, len(self.hashes) - 1)
+            right = self.hashes[at] == words[other]
+            same[other[right]], spot[other[right]] = True, at[right]
         return maybe[same], spot[same]
 
 
@@ -135,7 +144,7 @@ def weights(docs: DataFrame, found: list[Passage], known: Vocabulary, p: LeakPar
         for b in bounded(batches):
             w = words(b.column("text"))
             at, spot = known.find(w.hashes)
-            row = np.searchsorted(w.first, at, side="right") - 1
+            row = np.repeat(np.arange(b.num_rows), np.diff(w.first))[at]
             few = max(1, (1 << 23) // width)
             for k in range(0, b.num_rows, few):  # a table of some documents and all words
                 i, j = np.searchsorted(row, (k, k + few))
@@ -279,6 +288,46 @@ def mask_of(spot: np.ndarray) -> tuple[np.ndarray, int]:
     return mask, len(spot) - int(np.bitwise_count(mask).sum())
 
 
+def likeness(vectors: np.ndarray, targets: np.ndarray, longest: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each word and passage, the part that the word adds to a window's projection on the passage; and the least sums.
+
+    16-bit integers, rounded up, so that no window is lost; each passage has the finest scale at which
+    ``longest`` words can't overflow. The last row is no word's.
+    """
+    square = (targets**2).sum(1)
+    part = (vectors @ targets.T) / np.where(square > 0, square, 1)
+    scale = 32000 / (longest * np.abs(part).max(0).clip(min=1e-6)) - 1
+    out = np.zeros((len(part) + 1, len(targets)), np.int16)
+    out[:-1] = np.ceil(part * scale)
+    return out, np.where(square > 0, np.floor(share * scale).clip(max=32767), 32767).astype(np.int16)
+
+
+def step_sums(parts: np.ndarray, slots: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the words' parts in each step; ``slots`` has a step's words first, then the row of no word."""
+    out = parts.take(slots[:, 0], axis=0)
+    for k in range(1, slots.shape[1]):
+        more = np.flatnonzero(count > k)
+        if 2 * len(more) > len(slots):
+            out += parts.take(slots[:, k], axis=0)
+        elif len(more):
+            out[more] += parts.take(slots[more, k], axis=0)
+    return out
+
+
+def run_sums(sums: np.ndarray, m: int) -> np.ndarray:
+    """Sums of ``m`` rows from each row on that has so many, by powers of two."""
+    n = len(sums) - m + 1
+    out, at, size = np.zeros((n, sums.shape[1]), sums.dtype), 0, 1
+    while True:
+        if m & size:
+            out += sums[at : at + n]
+            at += size
+        size *= 2
+        if size > m:
+            return out
+        sums = sums[: -(size // 2)] + sums[size // 2 :]
+
+
 def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabulary, space: np.ndarray, p: LeakParams) -> DataFrame:
     """``doc_id, item_id, score``: verified hits of a block of passages in all documents."""
     vectors = (space * idf[:, None]).astype(np.float32)
@@ -291,55 +340,61 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
     bits = np.stack([m for m, _ in masks])
     # So many bits a passage and the words around a window share at least: repeats in the passage and shared bits count for it.
     least = need - np.array([n.sum() - len(n) + shared for (_, n), (_, shared) in zip(terms, masks, strict=True)])
-    square = (targets**2).sum(1)
-    norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1)) * (1 + 1e-6)
+    groups = [(k, g, k // p.step, *likeness(vectors, targets[g], p.long, p.share - 1e-3)) for k, g in ((k, np.flatnonzero(wide == (k == p.long))) for k in (p.short, p.long)) if len(g)]
+    width, halo = len(idf), p.long // p.step - 1
+    del vectors, targets
     sent = [(f.item, f.words.tobytes(), f.answer.tobytes()) for f in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         texts = [(item, np.frombuffer(w, np.uint64), np.frombuffer(a, np.uint64)) for item, w, a in sent]
-        groups = [(k, np.flatnonzero(wide == (k == p.long)), k // p.step) for k in (p.short, p.long)]
-        groups = [(k, g, m, targets[g].T.copy(), square[g], np.where(square[g] > 0, (p.share - 1e-3) * square[g], np.inf).astype(np.float32)) for k, g, m in groups if len(g)]
         for b in bounded(batches):
             w = words(b.column("text"))
             count = np.diff(w.first)
             steps = -(-count // p.step)
-            base = np.concatenate([[0], np.cumsum(steps)])
-            if base[-1] == 0:
-                continue
+            # Steps without words follow each text, so that no window reaches into the next.
+            base = np.concatenate([[0], np.cumsum(np.where(steps > 0, steps + halo, 0))])
+            end = base[:-1] + steps
             row = np.repeat(np.arange(b.num_rows), count)
-            place = np.arange(len(w.hashes)) - w.first[:-1][row]
             live, spot = known.find(w.hashes)
             if not len(live):
                 continue
-            at = (base[row] + place // p.step)[live]
-            begin = np.searchsorted(at, np.arange(base[-1] + 1))
-            sums = np.zeros((base[-1], vectors.shape[1]), np.float32)
+            row = row[live]
+            at = base[row] + (live - w.first[:-1][row]) // p.step
+            full = np.bincount(at, minlength=base[-1])
+            begin = np.append(0, np.cumsum(full))
             nth = np.arange(len(at)) - begin[at]
+            slots = np.full((base[-1], p.step), width, np.int32)
+            slots[at, nth] = spot
             signs = Signatures(base[-1])
-            for k in range(p.step):  # one word of each step at a time: much faster than reduceat
+            for k in range(p.step):
                 one = nth == k
-                sums[at[one]] += vectors[spot[one]]
                 signs.add(at[one], spot[one])
             signs.close(p.long // p.step + 2 * beside)
-            above = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
-            np.cumsum(sums, axis=0, out=above[1:])
-            del sums
-            reach = np.append(0.0, np.cumsum(np.bincount(at, weights=norms[spot], minlength=base[-1])))
-            holder = np.repeat(np.arange(b.num_rows), steps)
-            spots = np.arange(base[-1])
+            holder = np.repeat(np.arange(b.num_rows), np.diff(base))
+            inside = np.arange(base[-1]) < end[holder]
             hits: dict[tuple[int, int], float] = {}
-            for size, group, m, matrix, norm, limit in groups:
-                stop = np.minimum(spots + m, base[holder + 1])
-                # A window is at most as long as its words' vectors together: most fall short of any passage.
-                busy = np.flatnonzero(reach[stop] - reach[:-1] >= p.share * np.sqrt(norm.min()))
-                for s in range(0, len(busy), 8192):
-                    some = busy[s : s + 8192]
-                    i, t = np.nonzero((above[stop[some]] - above[some]) @ matrix >= limit)
-                    t = group[t]
+            for size, group, m, parts, limit in groups:
+                for s in range(0, base[-1], 8192):
+                    i, t = [], []
+                    for a in range(s, min(s + 8192, base[-1]), 1024):
+                        e = min(a + 1024, s + 8192, base[-1])
+                        if begin[min(e + m - 1, base[-1])] == begin[a]:
+                            continue
+                        stop = min(e + m - 1, base[-1])
+                        found = np.flatnonzero(run_sums(step_sums(parts, slots[a:stop], full[a:stop]), m) >= limit)
+                        i.append(a + found // len(group))
+                        t.append(found % len(group))
+                    if not i:
+                        continue
+                    i, t = np.concatenate(i), np.concatenate(t)
+                    i, t = i[inside[i]], group[t[inside[i]]]
+                    if not len(i):
+                        continue
+                    first = np.append(True, i[1:] != i[:-1])
+                    some, i = i[first], np.cumsum(first) - 1
                     # What is around a window, as in the verification, in whole steps.
                     low = np.maximum(some - beside, base[holder[some]])
-                    high = np.minimum(stop[some] + beside, base[holder[some] + 1])
+                    high = np.minimum(some + m + beside, end[holder[some]])
                     around_signs = signs.of(low, high)
                     shared = np.zeros(len(i), bool)
                     for q in range(0, len(i), 1 << 15):
@@ -348,7 +403,7 @@ def search(docs: DataFrame, found: list[Passage], idf: np.ndarray, known: Vocabu
                     i, t = i[shared], t[shared]
                     if not len(i):
                         continue
-                    likely = enough_words(spot, begin[low], begin[high], i, t, terms, need, len(idf))
+                    likely = enough_words(spot, begin[low], begin[high], i, t, terms, need, width)
                     for i, t in zip(i[likely], t[likely], strict=True):
                         r = int(holder[some[i]])
                         item, passage, answer = texts[t]

@@ -95,6 +95,31 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert decontamination.find_leaks(df, bench.where("false")).count() == 0
 
 
+def test_sums_of_likeness_equal_the_projection():
+    """No window that reaches a passage is lost by the rounding, few others are added, and no sum overflows."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((50, 12)).astype(np.float32)
+    targets = np.stack([vectors[rng.choice(50, k)].sum(0) for k in (1, 2, 9, 30)] + [np.zeros(12, np.float32)])
+    parts, limit = decontamination.likeness(vectors, targets, 56, 0.48)
+    slots, count = np.full((90, 8), 50, np.int32), rng.integers(0, 9, 90)
+    for i, n in enumerate(count):
+        slots[i, :n] = rng.integers(0, 50, n)
+    flat = np.vstack([vectors, np.zeros((1, 12), np.float32)])
+    for m in (1, 3, 7):
+        sums = decontamination.run_sums(decontamination.step_sums(parts, slots, count), m)
+        want = np.stack([flat[slots[i : i + m].ravel()].sum(0) @ targets.T for i in range(90 - m + 1)])
+        square = (targets**2).sum(1)
+        assert (sums >= limit)[:, :4][want[:, :4] >= 0.481 * square[:4]].all() and not (sums >= limit)[:, 4].any()
+        close = np.abs(want[:, :4] / square[:4] - sums[:, :4] * (0.48 / limit[:4])) < 0.05 * np.abs(vectors @ targets[:4].T / square[:4]).max(0) + 0.05
+        assert close.all()
+
+
+def test_words_with_the_same_top_bits_are_found():
+    known = decontamination.Vocabulary(np.array([5, 7, 9, 1 << 50, (1 << 50) + 3, 1 << 63], np.uint64))
+    at, spot = known.find(np.array([9, 6, 1 << 63, (1 << 50) + 3, 5, (1 << 50) + 1, 7, (1 << 63) + 1, 1 << 50], np.uint64))
+    assert at.tolist() == [0, 2, 3, 4, 6, 8] and known.hashes[spot].tolist() == [9, 1 << 63, (1 << 50) + 3, 5, 7, 1 << 50]
+
+
 def test_edited_leak_in_many_documents_is_found(spark):
     rng = random.Random(6)
     items = [(k, prose(rng, 40)) for k in range(12)]
