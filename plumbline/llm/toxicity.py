@@ -37,6 +37,9 @@ from plumbline.sources.shared import drop_table, work_table
 
 GAP = b"\n" * 64
 
+#: Bytes of a text, or slots, handled at once in training.
+PIECE = 1 << 16
+
 
 @dataclass(frozen=True)
 class ToxicityParams:
@@ -90,15 +93,17 @@ def flat(text: str | None) -> bytes:
 
 
 def _slots(text: bytes, n: int) -> np.ndarray:
-    """Slots (22 bits) of the byte n-grams of a text."""
-    a = np.frombuffer(text, np.uint8).astype(np.uint64)
-    if len(a) < n:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(a) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[k : len(a) - n + 1 + k]
-    h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)
+    """Slots (22 bits) of the byte n-grams of a text, made in pieces: a temporary array takes eight bytes for each of a piece."""
+    a = np.frombuffer(text, np.uint8)
+    out = np.zeros(max(0, len(a) - n + 1), np.uint32)
+    for s in range(0, len(out), PIECE):
+        part = a[s : s + PIECE + n - 1].astype(np.uint64)
+        h = np.zeros(len(part) - n + 1, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + part[k : len(part) - n + 1 + k]
+        h ^= h >> np.uint64(29)
+        out[s : s + PIECE] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)
+    return out
 
 
 def typical_segments(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParams) -> list[bytes]:
@@ -111,9 +116,12 @@ def typical_segments(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParam
         return counts
 
     a, b, na, nb = texts_with(toxic), texts_with(ordinary), len(toxic), len(ordinary)
-    pooled = (a + b) / (na + nb)
-    z = (a / na - b / nb) / np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb) + 1e-12)
-    typical = (z > min(p.min_z, 0.5 * np.sqrt(na))) & ((a + 0.5) / (na + 1) > p.min_ratio * (b + 0.5) / (nb + 1)) & (a >= 3)
+    typical = np.zeros(len(a), bool)
+    for s in range(0, len(a), PIECE):  # all slots at once took 120 MB more of the driver's memory
+        x, y = a[s : s + PIECE], b[s : s + PIECE]
+        pooled = (x + y) / (na + nb)
+        z = (x / na - y / nb) / np.sqrt(pooled * (1 - pooled) * (1 / na + 1 / nb) + 1e-12)
+        typical[s : s + PIECE] = (z > min(p.min_z, 0.5 * np.sqrt(na))) & ((x + 0.5) / (na + 1) > p.min_ratio * (y + 0.5) / (nb + 1)) & (x >= 3)
     out = []
     for t in toxic:
         hits = np.flatnonzero(typical[_slots(t, p.gram)])
@@ -195,6 +203,7 @@ def train(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityPa
     windows = [w for t in fit[0] for w in cut(t, 96) if len(w) >= 8]
     windows = windows[: int(np.searchsorted(np.cumsum([len(w) for w in windows]), p.train_bytes, side="right"))]
     ordinary = dictionary(windows, p.ordinary_bytes, 48)
+    del windows
     model.ordinary, model.toxic = ordinary + GAP, ordinary + dictionary(typical_segments(fit[1], fit[0], p), p.toxic_bytes, 16) + GAP
     scorer = Scorer(model)
     usual = np.concatenate([scorer.differences(t) for t, y in held if y == 0])
@@ -203,7 +212,7 @@ def train(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityPa
     shift, scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - shift) / scale, y).tolist()
     model.shift, model.scale = shift.tolist(), scale.tolist()
-    del got, fit, held, windows
+    del got, fit, held
     hand_back()
     return model
 

@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy on invented text, and edge cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,25 @@ def test_the_toxic_dictionary_is_trained_on_what_is_typical():
     assert runs and max(map(len, runs)) > 40 and all(r in rude + b" " or b"weather" not in r for r in runs)
 
 
+def test_typical_segments_take_little_of_the_drivers_memory():
+    ordinary = [b"the weather was mild and the river ran slow %d" % i for i in range(60)]
+    toxic = [b"the weather " + b"you snarfwit of a blatherskite " * 20_000 for _ in range(9)]
+    tracemalloc.start()
+    runs = toxicity.typical_segments(toxic, ordinary, toxicity.ToxicityParams())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Two tables of 2**22 counts and the runs themselves; all slots at once took 177 MB.
+    assert max(map(len, runs)) > 500_000 and peak < 70_000_000
+
+
+def test_slots_do_not_depend_on_pieces():
+    text = np.random.default_rng(6).integers(0, 256, 2 * toxicity.PIECE + 9, dtype=np.uint8).tobytes()
+    slots = toxicity._slots(text, 5)
+    assert len(slots) == len(text) - 4 and len(toxicity._slots(b"abcd", 5)) == 0
+    for k in [0, 1, *range(toxicity.PIECE - 6, toxicity.PIECE + 6), *range(2 * toxicity.PIECE - 6, len(slots))]:
+        assert slots[k] == toxicity._slots(text[k : k + 5], 5)[0]
+
+
 def test_windows_cover_the_text():
     text = b"ab cd " * 50 + b"x" * 300
     assert b"".join(toxicity.cut(text, 64)) == text
